@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, toxicity, url_filter
+from . import decontaminate, jaccard_join, mixing, secrets, toxicity, url_filter
 
 #: The rules that op1 judges by.
 HOST_RULES = (
@@ -51,11 +51,15 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, d, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op5_toxicity, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op5_toxicity, op9_ngram_jaccard_join, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_url_filters": r"""
