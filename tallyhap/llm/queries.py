@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, secrets, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, mixing, secrets, topk, toxicity, url_filter, warc
 
 #: The rules that op1 judges by.
 HOST_RULES = (
@@ -51,6 +51,19 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op6_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return topk.top_k(table(spark, d, "embeddings"))
+
+
+def op7_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract(table(spark, d, "pages"))
+
+
+def op8_warc(spark: SparkSession, d: str) -> DataFrame:
+    directory = warc.archive_directory(spark)
+    return warc.histories(warc.write_archives(table(spark, d, "pages"), directory), directory)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, d, "documents"))
 
@@ -59,9 +72,16 @@ def op10_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op5_toxicity, op9_ngram_jaccard_join, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op10_source_mixing)}
 
 ORACLE_SQL = {
+    "op6_exact_top_k": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op1_url_filters": r"""
         WITH u AS (
             SELECT page_id,
