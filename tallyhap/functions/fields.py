@@ -30,13 +30,13 @@ def hap_pair(gt: Column) -> Column:
 
 def phased_pair(sample: Column) -> Column:
     """struct(ref_hap, alt_hap) of a sample column whose first field is a|b."""
-    gt = F.split(F.split(sample, ":")[0], r"\|")
-    return F.struct(F.get(gt, F.lit(0)).cast("int").alias("ref_hap"), F.get(gt, F.lit(1)).cast("int").alias("alt_hap"))
+    gt = F.split(F.get(F.split(sample, ":"), F.lit(0)), r"\|")
+    return F.struct(F.get(gt, F.lit(0)).try_cast("int").alias("ref_hap"), F.get(gt, F.lit(1)).try_cast("int").alias("alt_hap"))
 
 
 def info_ordinal(info: Column, place: int) -> Column:
     """The number behind = in the INFO entry at a place (from 0)."""
-    return F.split(F.get(F.split(info, ";"), F.lit(place)), "=")[1].cast("long")
+    return F.get(F.split(F.get(F.split(info, ";"), F.lit(place)), "="), F.lit(1)).try_cast("long")
 
 
 def attributes(text: Column) -> Column:
