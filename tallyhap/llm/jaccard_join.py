@@ -3,11 +3,13 @@ similarity of 0.8 or more, exactly, and the components that the links form.
 
 Set-relation skipping on top of a prefix filter:
 
-* Sets are 64-bit hashes of word 5-grams. Equal sets are one class and take
-  part once. Elements stand rarest first: those that are frequent within any
-  part of the corpus (counted over all documents; the bounded table of the most
-  frequent ones) come last, the others by hash. Linked sets share an element of
-  their prefixes.
+* Sets are 64-bit hashes of word 5-grams. Equal texts, then equal sets, are one
+  class and take part once. Linked sets share an element of their prefixes.
+* Elements stand rarest first. Those whose hash lies in the lowest `known` part
+  of the range are counted over all documents (so are others that are frequent
+  within a batch). They come first, in order of hash, as long as they are in few
+  sets; the others follow; frequent ones come last. The table of frequent
+  elements is the bounded one of the highest counts; it steers the order only.
 * Index lists (one per element) hold their sets by position. A list is cut into
   blocks of one position; a block whose sets cannot reach the overlap from
   there is skipped as a whole, and so are sets of unfit size.
@@ -48,16 +50,18 @@ _words: dict[bytes, int] = {}
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """percent: the least similarity. frequent: how many of the most frequent
-    shingles are known by count; local: documents of one batch in which a
-    shingle must occur to be counted. short: lists up to this length meet in
-    full at once. leaders: of a longer list. broadcast_ids: ids that are
+    """percent: the least similarity. known: part of the hash range that is
+    counted over all sets. frequent: how many of the most frequent shingles are
+    broadcast (12 bytes each); local: sets of one batch that must share a
+    shingle outside `known` for it to count. short: lists up to this length
+    meet in full at once. leaders: of a longer list. broadcast_ids: ids that are
     broadcast at most (8 bytes each); beyond, texts are joined by a shuffle."""
 
     shingle: int = 5
     percent: int = 80
-    frequent: int = 200_000
-    local: int = 4
+    known: float = 0.3
+    frequent: int = 500_000
+    local: int = 3
     short: int = 6
     leaders: int = 2
     batch: int = 1_000_000
@@ -116,26 +120,68 @@ def _batches(it: Iterator[pd.DataFrame], most: int, size: int) -> Iterator[tuple
         yield keys, sets
 
 
-def _describe(p: JaccardParams):
-    """Of each document its size and signature; and of each batch the elements
-    that several of its distinct sets share, with their counts."""
+def _describe(p: JaccardParams, buckets: int):
+    """Of each document its size and signature, in a bucket of its own; and by
+    bucket the packed elements of the known part of the range, one for each
+    distinct set of the batch. Other elements go by only if a batch's sets
+    share them."""
+    limit = np.uint64(int(p.known * 2**64))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, sets in _batches(it, p.batch, p.shingle):
             sig = [signature(s) for s in sets]
+            # no column has nulls, which pandas would read as floats
+            known = [not pd.isna(k) for k in keys]
             yield pd.DataFrame({
-                "key": pd.array(keys, "Int64"), "n": pd.array([len(s) for s in sets], "Int64"), "s1": pd.array([a for a, _ in sig], "Int64"),
-                "s2": pd.array([b for _, b in sig], "Int64"), "token": pd.array([None] * len(keys), "Int64"), "count": pd.array([None] * len(keys), "Int64"),
+                "bucket": [abs(a) % buckets for a, _ in sig], "doc": True, "keyed": known, "key": [int(k) if ok else 0 for k, ok in zip(keys, known)],
+                "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig], "data": b"",
             })
-            once = {x: s for x, s in zip(sig, sets)}
-            every = np.sort(np.concatenate(list(once.values())))
+            every = np.sort(np.concatenate(list({x: s for x, s in zip(sig, sets)}.values())))
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, int)
             count = np.diff(np.append(first, len(every)))
-            hot = count >= p.local
-            if hot.any():
-                m = int(hot.sum())
-                none = pd.array([None] * m, "Int64")
-                yield pd.DataFrame({"key": none, "n": none, "s1": none, "s2": none, "token": pd.array(every[first][hot].view(np.int64), "Int64"), "count": pd.array(count[hot], "Int64")})
+            send = np.repeat((every[first] < limit) | (count >= p.local), count) if len(every) else np.zeros(0, bool)
+            every = every[send]
+            bucket = (every % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            every, bucket = every[order], bucket[order]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(every) else np.zeros(0, int)
+            if len(cut):
+                yield pd.DataFrame({"bucket": bucket[cut], "doc": False, "keyed": False, "key": 0, "n": 0, "s1": 0, "s2": 0, "data": [_pack(x) for x in np.split(every, cut[1:])]})
+
+    return run
+
+
+def _pack(h: np.ndarray) -> bytes:
+    """The upper 40 bits of each element (with its bucket, enough to tell
+    frequent ones apart; a clash only moves an element in the order)."""
+    return (h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8")
+
+
+def _count(p: JaccardParams):
+    """Document rows as they are, and (token, count) of elements that more sets
+    have than a short list holds. A token is an element's upper 40 bits and
+    bucket."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = []
+        for f in it:
+            data = ~f["doc"]
+            parts += [_unpack(x) << np.uint64(24) | np.uint64(b) for b, x in zip(f["bucket"][data], f["data"][data])]
+            yield f.loc[~data, ["doc", "keyed", "key", "n", "s1", "s2"]].assign(token=0, count=0)
+        if parts:
+            every = np.sort(np.concatenate(parts))
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            count = np.diff(np.append(first, len(every)))
+            hot = count > p.short
+            for k in range(0, int(hot.sum()), 100_000):
+                t, c = every[first][hot][k : k + 100_000], count[hot][k : k + 100_000]
+                yield pd.DataFrame({"doc": False, "keyed": False, "key": 0, "n": 0, "s1": 0, "s2": 0, "token": t.view(np.int64), "count": c})
 
     return run
 
@@ -143,15 +189,17 @@ def _describe(p: JaccardParams):
 _ENTRY = np.dtype([("low", "<u4"), ("mid", "<u2"), ("n", "<u4"), ("at", "<u4"), ("s1", "<i8")])
 
 
-def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The set's elements by which any linked set must be met, rarest first."""
+def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, p: JaccardParams, buckets: int) -> np.ndarray:
+    """The set's elements by which any linked set must be met, rarest first:
+    hashes stand in order, so those of the known part come first by themselves."""
     if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-        s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
-    return s[: len(s) - -(-percent * len(s) // 100) + 1]
+        token = (s >> np.uint64(24) << np.uint64(24)) | (s % np.uint64(buckets))
+        at = np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)
+        s = s[np.argsort(np.where(tokens[at] == token, counts[at], 0), kind="stable")]
+    return s[: len(s) - -(-p.percent * len(s) // 100) + 1]
 
 
-def _prefixes(p: JaccardParams, frequent, buckets: int):
+def _prefixes(p: JaccardParams, frequent, buckets: int, counted: int):
     """Packed prefix entries by bucket of the element."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +211,7 @@ def _prefixes(p: JaccardParams, frequent, buckets: int):
                     once.setdefault(signature(s)[0], s)
             if not once:
                 continue
-            parts = [prefix(s, tokens, counts, p.percent) for s in once.values()]
+            parts = [prefix(s, tokens, counts, p, counted) for s in once.values()]
             sizes = np.array([len(x) for x in parts])
             h = np.concatenate(parts)
             e = np.empty(len(h), _ENTRY)
@@ -276,16 +324,26 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     """key, n_shingles and component_id of each row."""
     p, spark = params, docs.sparkSession
     few = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    seen = written(few.mapInPandas(_describe(p), "key long, n long, s1 long, s2 long, token long, count long"), "jaccard-sets")
-    rows = seen.where(F.col("token").isNull()).select("key", "n", "s1", "s2")
-    hot = seen.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(p.frequent).toPandas()  # a bounded table
+    n_parts = partitions(spark)
+    buckets = 4 * n_parts
+    # equal texts: one of them, of the smallest id, stands for all
+    text_of = few.where("key is not null").select("key", F.md5(F.coalesce("text", F.lit(""))).alias("h")).groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("h2"), F.count("*").alias("k"))
+    text_of = written(text_of.where("h = h2").drop("h2"), "jaccard-texts")  # ids whose rows all have one text, k times
+    first = text_of.groupBy("h").agg(F.min("key").alias("rep"))
+    same = written(text_of.join(first, "h").where("key <> rep").select("key", "rep", "k"), "jaccard-same")
+    small = same.count() <= p.broadcast_ids
+    one = few.join(F.broadcast(same.select("key")) if small else same.select("key"), "key", "left_anti")
+    # documents and counts go through one exchange; only frequent elements come out of it
+    mixed = one.mapInPandas(_describe(p, buckets), "bucket long, doc boolean, keyed boolean, key long, n long, s1 long, s2 long, data binary").repartition(n_parts, "bucket")
+    seen = written(mixed.mapInPandas(_count(p), "doc boolean, keyed boolean, key long, n long, s1 long, s2 long, token long, count long"), "jaccard-sets")
+    rows = seen.where("doc").select(F.when(F.col("keyed"), F.col("key")).alias("key"), "n", "s1", "s2")
+    hot = seen.where("not doc").orderBy(F.desc("count"), "token").select("token", "count").limit(p.frequent).toPandas()  # a bounded table
     tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[order], hot["count"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((tokens[order], hot["count"].to_numpy(np.int32)[order]))
     # equal sets are one class, named by its smallest id (s1 alone only steers the search)
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
-    buckets = 4 * partitions(spark)
-    packed = few.mapInPandas(_prefixes(p, frequent, buckets), "bucket long, data binary").repartition(partitions(spark), "bucket")
+    packed = one.mapInPandas(_prefixes(p, frequent, buckets, buckets), "bucket long, data binary").repartition(n_parts, "bucket")
     lists = written(packed.mapInPandas(_lists(p), "a long, b long, token long, n long, at long"), "jaccard-lists")
 
     name = classes.select("s1", "rep")
@@ -303,8 +361,12 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
         parts = connected(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     parts = parts.withColumnRenamed("node", "rep")
     whole = classes.join(parts, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    out = rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").select("key", "n", "component")
+    # the other rows of equal texts take over what was found for theirs
+    rest = same.join(out.select(F.col("key").alias("rep"), "n", "component").distinct(), "rep")
+    rest = rest.select("key", "n", "component", F.explode(F.array_repeat(F.lit(1), F.col("k").cast("int")))).drop("col")
+    every = out.unionByName(rest)
+    return every.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
