@@ -279,6 +279,22 @@ def test_pipeline_with_hook(spark, inputs):
     assert got.count() == 2 and "FORMAT" in seen
 
 
+def test_phasing_correction_plan(spark, tmp_path):
+    rows = [x for x in phase_rows() if x[0] == 1]
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n"
+    (tmp_path / "p.vcf").write_text(head + "".join(f"chr1\t{1000 * k + 1}\t.\tA\tC\t.\t.\t.\tGT\t0|1\n" for k in range(6)))
+    for t, at in (("ad", 4), ("dp", 5)):
+        lines = [f"{x[1] + 1}\t{int(x[3][1:]) + 1}\t{x[at]}" for x in rows]
+        (tmp_path / f"{t}.mtx").write_text("\n".join(["%%MatrixMarket matrix coordinate integer general", f"6 16 {len(lines)}", *lines]) + "\n")
+    (tmp_path / "r.tsv").write_text("1\t1\t9000\tg\n2\t1\t5\th\n")
+    args = [str(tmp_path / x) for x in ("ad.mtx", "dp.mtx", "p.vcf", "r.tsv", "out")]
+    snp, region = counting.correct_phasing(spark, *args, params=CorrectionParams(starts=3))
+    flips = {r.pos // 1000 for r in snp.collect() if r.ref_hap != r.ref_hap_new}
+    assert flips in ({1, 4}, {0, 2, 3, 5})
+    assert {(r.name, r.n_snp, r.n_flip) for r in region.collect()} == {("g", 6, len(flips)), ("h", 0, 0)}
+    assert (tmp_path / "out" / "sample_region_stat.tsv").read_text().splitlines()[0] == "chrom\tstart\tend\tname\tn_flip\tn_snp"
+
+
 def test_text_sources(spark, inputs, tmp_path):
     v, header = vcf.read_vcf(spark, str(inputs / "snps.vcf"))
     tables.write_vcf(v, header, str(tmp_path / "copy.vcf.gz"))
