@@ -147,8 +147,7 @@ def parse(html: str) -> tuple[list[tuple[str | None, Node]], list[Node]]:
         noise = up.noise or tag in NOISE_TAGS or (tag not in ("html", "body", "article", "main") and bool(words & NOISE_WORDS)) or (tag == "header" and not up.article)
         node = Node(tag, xxhash.xxh3_64_intdigest(f"{tag}.{label}", up.path & (2**63 - 1)), noise, article and not noise, up.main or tag == "main" or "main" in words and tag == "div")
         nodes.append(node)
-        if not m[3].rstrip().endswith("/") or tag not in ("path", "rect"):
-            stack.append(node)
+        stack.append(node)
     return pieces, nodes
 
 
