@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.chrom import region_id, region_label, toggle_chr
+from ..functions.chrom import region_id, region_label
 
 #: Chromosome lengths, 1 to 22, X and Y.
 CHROMS = (*map(str, range(1, 23)), "X", "Y")
@@ -57,5 +57,3 @@ def merge_regions(first: DataFrame, second: DataFrame, unique: bool = True) -> D
 def sort_regions(regions: DataFrame) -> DataFrame:
     return regions.orderBy("chrom", "start", "end_excl")
 
-
-__all__ = ["CHROMS", "LENGTHS", "bins_of_lengths", "fixed_bins", "header_bins", "merge_regions", "query_region", "sort_regions", "toggle_chr"]
