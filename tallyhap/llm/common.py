@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +48,3 @@ def temp_column(df: DataFrame, stem: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
-
-
-def text_of(column: str, key: str | None = None) -> F.Column:
-    """The column as string, null as the empty text."""
-    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))

@@ -23,9 +23,10 @@ Candidates are verified on whole texts. Packed arrays are shuffled, not rows;
 texts are read again only for the sets in candidate pairs.
 
 Nulls: a null or wordless text has the empty set, links with nothing and is its
-own component. Fewer than five words are one shingle. Rows that share a doc_id
-are one node of the graph each row of which is returned; a null doc_id can join
-a component but never names one. Extra columns are ignored.
+own component. Fewer than five words are one shingle. Ids are meant to be
+unique: rows that share one are one node of the graph, each row is returned,
+and if their texts differ one of them is compared. A null doc_id can join a
+component but never names one. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -327,10 +328,10 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     n_parts = partitions(spark)
     buckets = 4 * n_parts
     # equal texts: one of them, of the smallest id, stands for all
-    text_of = few.where("key is not null").select("key", F.md5(F.coalesce("text", F.lit(""))).alias("h")).groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("h2"), F.count("*").alias("k"))
-    text_of = written(text_of.where("h = h2").drop("h2"), "jaccard-texts")  # ids whose rows all have one text, k times
-    first = text_of.groupBy("h").agg(F.min("key").alias("rep"))
-    same = written(text_of.join(first, "h").where("key <> rep").select("key", "rep", "k"), "jaccard-same")
+    texts_of = few.where("key is not null").select("key", F.md5(F.coalesce("text", F.lit(""))).alias("h")).groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("h2"), F.count("*").alias("k"))
+    texts_of = written(texts_of.where("h = h2").drop("h2"), "jaccard-texts")  # ids whose rows all have one text, k times
+    first = texts_of.groupBy("h").agg(F.min("key").alias("rep"))
+    same = written(texts_of.join(first, "h").where("key <> rep").select("key", "rep", "k"), "jaccard-same")
     small = same.count() <= p.broadcast_ids
     one = few.join(F.broadcast(same.select("key")) if small else same.select("key"), "key", "left_anti")
     # documents and counts go through one exchange; only frequent elements come out of it

@@ -113,7 +113,7 @@ def token_count(text: F.Column) -> F.Column:
 def mix_sources(df: DataFrame, params: MixParams = MixParams(), key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """key, source, size, source_size, target, quota (blocks of the row's
     shard) and taken of each row."""
-    p, spark = params, df.sparkSession
+    p = params
     sized = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), token_count(F.col(f"`{text}`").cast("string")).alias("size"))
     sized = written(sized, "mix-sizes")  # a few bytes a row; read twice
     spot = F.xxhash64(F.lit(p.seed), F.col("key").cast("string"))

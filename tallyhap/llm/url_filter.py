@@ -94,7 +94,7 @@ class GlobAutomaton:
     def matches(self, texts: Sequence[str]) -> np.ndarray:
         """Boolean, texts by globs."""
         out = np.zeros((len(texts), len(self.finals)), bool)
-        rows, held, longest = [], 0, 0
+        rows, longest = [], 0
         for i in sorted(range(len(texts)), key=lambda i: len(texts[i])):
             longest = max(longest, len(texts[i]))
             if rows and (len(rows) + 1) * (longest + self.words) > _CELLS:
