@@ -81,6 +81,10 @@ def op10_source_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op10_source_mixing)}
 
+#: A-Z in lower case, and the pattern of decontamination's words, for SQL.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
     "op6_exact_top_k": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -107,4 +111,46 @@ ORACLE_SQL = {
             FROM u)
         SELECT u.page_id, host, path, rule, "glob", CASE WHEN rule IS NOT NULL THEN best.verdict WHEN "glob" IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
         FROM u JOIN g USING (page_id) LEFT JOIN best USING (page_id)""",
+    "op3_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORDS}') AS w FROM documents),
+        b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_FOLDED}, '{_WORDS}') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item, least(len(w), 8) AS n, array_to_string(w[k:k + 7], ' ') AS g
+               FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE k + n - 1 <= len(w)),
+        found AS (SELECT DISTINCT doc_id, k, n, item FROM dw JOIN bw USING (n, g)),
+        hit AS (SELECT DISTINCT doc_id, unnest(range(k - 1, k - 1 + n)) AS p FROM found),
+        run AS (SELECT doc_id, min(p) AS s, max(p) + 1 AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM hit) GROUP BY doc_id, i),
+        h AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_hit, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM run GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op4_chat_formatting": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0), (1)) v(k)),
+        f AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS said,
+                     CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+              FROM c GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(said) AS BIGINT) AS loss_chars, sha256(said) AS loss_sha256, formatted_chars FROM f""",
+    "op8_warc": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+        h AS (SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+        v AS (SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS INT)) AS part FROM h),
+        u AS (SELECT *, regexp_extract(url, '(?s)^(?:.*?)://([^/?#]*)', 1) AS raw, coalesce(regexp_extract(url, '(?s)^(?:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+                     coalesce(regexp_extract(url, '(?s)^(?:.*?)://[^?#]*(\?[^#]*)', 1), '') AS query FROM v)
+        SELECT CASE WHEN raw IS NULL OR raw || path = '' THEN '' ELSE array_to_string(list_reverse(string_split(lower(raw), '.')), ',') || ')' || path || query END AS url_key,
+               CAST(0 AS BIGINT) AS timestamp, page_id, payload_bytes,
+               array_to_string(list_transform(part, lambda n: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 10) & 31) + 1, 1)
+                   || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM u""",
+    "op9_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+              JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.c = e.x)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)""",
 }
