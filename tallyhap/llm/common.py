@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,3 +51,21 @@ def temp_column(df: DataFrame, stem: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long, so few rows go to Python at once, unless the session
+    asks for a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
+def release_memory() -> None:
+    """At a task's end: give freed memory back, as idle workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

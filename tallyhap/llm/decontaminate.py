@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release_memory, small_batches
 from .fm_index import FMIndex
 from .secrets import cut_out
 
@@ -78,6 +79,7 @@ class WindowBlock:
 
 def pattern_blocks(spark: SparkSession, benchmark: DataFrame, params: DecontaminationParams, item: str = "item_id", text: str = "text") -> list:
     """Broadcasts of WindowBlock, each of about block_chars characters."""
+    small_batches(spark)
     few = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
     size = few.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + size // params.block_chars
@@ -210,6 +212,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, params: Decon
                     "n_items": [len(i) for *_, i in found], "items_sha256": [hashlib.sha256(",".join(i).encode()).hexdigest() for *_, i in found],
                     "contaminated": [len(i) >= params.items for *_, i in found], "spans": [",".join(f"{s}:{e}" for s, e in runs(h)) for _, h, _ in found],
                 })
+        release_memory()
 
     few = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = few.schema["key"].dataType.simpleString()
@@ -230,5 +233,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, params: DecontaminationPar
                 for t, (_, hits, items) in zip(own, judge(own, blocks)):
                     rows.append((cut_out(t, char_spans(t, runs(hits)), "") if len(hits) else t, len(items) >= params.items))
             yield pd.DataFrame(rows, columns=["text", "hit"])
+        release_memory()
 
     return documents.withColumn(out, cut(F.col(f"`{text}`").cast("string"))).withColumn(text, F.col(out)["text"]).withColumn(out, F.col(out)["hit"])

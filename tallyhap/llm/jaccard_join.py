@@ -36,14 +36,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, release_memory, small_batches, written
 from .components import connected
 
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 #: Odd multipliers, one per place of a word in its shingle.
 _PLACES = np.array([xxhash.xxh3_64_intdigest(b"place %d" % k) | 1 for k in range(64)], np.uint64)
 _words: dict[bytes, int] = {}
@@ -65,7 +66,7 @@ class JaccardParams:
     local: int = 3
     short: int = 6
     leaders: int = 2
-    batch: int = 1_000_000
+    batch: int = 500_000
     broadcast_ids: int = 500_000
 
 
@@ -106,19 +107,24 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return (v >> 64) - (1 << 63), (v & (2**64 - 1)) - (1 << 63)
 
 
-def _batches(it: Iterator[pd.DataFrame], most: int, size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and sets of about `most` elements together."""
+def _batches(it: Iterator[pa.RecordBatch], most: int, size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Keys and sets of about `most` elements together. Texts become Python
+    strings a few at a time, and at a task's end the worker lets go of its words."""
     keys, sets, held = [], [], 0
     for b in it:
-        for k, t in zip(b["key"], b["text"]):
-            keys.append(k)
-            sets.append(shingles(t, size))
-            held += len(sets[-1])
+        for at in range(0, b.num_rows, 128):
+            few = b.slice(at, 128)
+            keys += few.column("key").to_pylist()
+            for t in few.column("text").to_pylist():
+                sets.append(shingles(t, size))
+                held += len(sets[-1])
             if held >= most:
                 yield keys, sets
                 keys, sets, held = [], [], 0
     if keys:
         yield keys, sets
+    _words.clear()
+    release_memory()
 
 
 def _describe(p: JaccardParams, buckets: int):
@@ -128,14 +134,14 @@ def _describe(p: JaccardParams, buckets: int):
     share them."""
     limit = np.uint64(int(p.known * 2**64))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _batches(it, p.batch, p.shingle):
             sig = [signature(s) for s in sets]
-            # no column has nulls, which pandas would read as floats
-            known = [not pd.isna(k) for k in keys]
-            yield pd.DataFrame({
-                "bucket": [abs(a) % buckets for a, _ in sig], "doc": True, "keyed": known, "key": [int(k) if ok else 0 for k, ok in zip(keys, known)],
-                "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig], "data": b"",
+            # no column has nulls, which pandas would read as floats further on
+            known = [k is not None for k in keys]
+            yield _mixed({
+                "bucket": [abs(a) % buckets for a, _ in sig], "doc": [True] * len(keys), "keyed": known, "key": [k if ok else 0 for k, ok in zip(keys, known)],
+                "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig], "data": [b""] * len(keys),
             })
             every = np.sort(np.concatenate(list({x: s for x, s in zip(sig, sets)}.values())))
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, int)
@@ -147,11 +153,17 @@ def _describe(p: JaccardParams, buckets: int):
             every, bucket = every[order], bucket[order]
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(every) else np.zeros(0, int)
             if len(cut):
-                yield pd.DataFrame({"bucket": bucket[cut], "doc": False, "keyed": False, "key": 0, "n": 0, "s1": 0, "s2": 0, "data": [_pack(x) for x in np.split(every, cut[1:])]})
+                no, zero = [False] * len(cut), [0] * len(cut)
+                yield _mixed({"bucket": bucket[cut], "doc": no, "keyed": no, "key": zero, "n": zero, "s1": zero, "s2": zero, "data": [_pack(x) for x in np.split(every, cut[1:])]})
 
     return run
 
 
+def _mixed(columns: dict) -> pa.RecordBatch:
+    kind = {"doc": pa.bool_(), "keyed": pa.bool_(), "data": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, kind.get(k, pa.int64())) for k, v in columns.items()], names=list(columns))
+
+
 def _pack(h: np.ndarray) -> bytes:
     """The upper 40 bits of each element (with its bucket, enough to tell
     frequent ones apart; a clash only moves an element in the order)."""
@@ -203,7 +215,7 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, p: JaccardPara
 def _prefixes(p: JaccardParams, frequent, buckets: int, counted: int):
     """Packed prefix entries by bucket of the element."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = frequent.value
         for _, sets in _batches(it, p.batch, p.shingle):
             once = {}
@@ -224,7 +236,7 @@ def _prefixes(p: JaccardParams, frequent, buckets: int, counted: int):
             order = np.argsort(bucket, kind="stable")
             e, bucket = e[order], bucket[order]
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            yield pd.DataFrame({"bucket": bucket[cut], "data": [x.tobytes() for x in np.split(e, cut[1:])]})
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array([x.tobytes() for x in np.split(e, cut[1:])], pa.binary())], names=["bucket", "data"])
 
     return run
 
@@ -306,7 +318,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
 
         def of(i, t) -> np.ndarray:
             if i not in known:
-                if len(known) > 200:
+                if len(known) > 64:
                     known.clear()
                 known[i] = shingles(t, p.shingle)
             return known[i]
@@ -317,6 +329,8 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
                 x, y = of(a, ta), of(b, tb)
                 ok.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), p.percent))
             yield f.loc[ok, ["a", "b"]]
+        _words.clear()
+        release_memory()
 
     return two.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
@@ -324,6 +338,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
 def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row."""
     p, spark = params, docs.sparkSession
+    small_batches(spark)
     few = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     n_parts = partitions(spark)
     buckets = 4 * n_parts
@@ -335,7 +350,7 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     small = same.count() <= p.broadcast_ids
     one = few.join(F.broadcast(same.select("key")) if small else same.select("key"), "key", "left_anti")
     # documents and counts go through one exchange; only frequent elements come out of it
-    mixed = one.mapInPandas(_describe(p, buckets), "bucket long, doc boolean, keyed boolean, key long, n long, s1 long, s2 long, data binary").repartition(n_parts, "bucket")
+    mixed = one.mapInArrow(_describe(p, buckets), "bucket long, doc boolean, keyed boolean, key long, n long, s1 long, s2 long, data binary").repartition(n_parts, "bucket")
     seen = written(mixed.mapInPandas(_count(p), "doc boolean, keyed boolean, key long, n long, s1 long, s2 long, token long, count long"), "jaccard-sets")
     rows = seen.where("doc").select(F.when(F.col("keyed"), F.col("key")).alias("key"), "n", "s1", "s2")
     hot = seen.where("not doc").orderBy(F.desc("count"), "token").select("token", "count").limit(p.frequent).toPandas()  # a bounded table
@@ -344,7 +359,7 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     frequent = spark.sparkContext.broadcast((tokens[order], hot["count"].to_numpy(np.int32)[order]))
     # equal sets are one class, named by its smallest id (s1 alone only steers the search)
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
-    packed = one.mapInPandas(_prefixes(p, frequent, buckets, buckets), "bucket long, data binary").repartition(n_parts, "bucket")
+    packed = one.mapInArrow(_prefixes(p, frequent, buckets, buckets), "bucket long, data binary").repartition(n_parts, "bucket")
     lists = written(packed.mapInPandas(_lists(p), "a long, b long, token long, n long, at long"), "jaccard-lists")
 
     name = classes.select("s1", "rep")
