@@ -125,27 +125,43 @@ def local_phasing(ad: np.ndarray, dp: np.ndarray, positions: np.ndarray, p: Phas
     return 1 - final if final.mean() > 0.5 else final
 
 
-def correct_phase(ad: np.ndarray, dp: np.ndarray, hap: np.ndarray, p: CorrectionParams, rng: np.random.Generator) -> dict:
-    """One start of the phasing correction; ad, dp: SNPs x cells."""
-    bd = dp - ad
-    theta = _clamped(normalise(rng.random((ad.shape[1], 2))), 1e-10)
-    pi = np.where(hap[:, None] == 0, [[1 - p.epsilon_hap, p.epsilon_hap]], [[p.epsilon_hap, 1 - p.epsilon_hap]])
-    depth, last, seen = np.maximum(dp.sum(0), 1e-10)[:, None], None, []
-    for _ in range(p.max_iter):
-        phi = ad @ np.log(theta) + bd @ np.log(1 - theta) + np.log(pi)
-        total = log_sum_exp(phi, 1)
-        psi = np.exp(phi - total[:, None])
-        theta = _clamped((ad.T @ psi + bd.T @ (1 - psi)) / depth, 1e-10)
-        seen.append(float(total.sum()))
-        if last is not None and abs(seen[-1] - last) < p.epsilon:
+def correct_phase(ad: np.ndarray, dp: np.ndarray, hap: np.ndarray, p: CorrectionParams, theta: np.ndarray) -> dict:
+    """The phasing correction from several starts side by side, and of them the
+    one of the highest likelihood; the first of equal ones. ad, dp: SNPs x
+    cells; theta: cells x 2 x starts. A start that has converged drops out."""
+    bd, depth = dp - ad, np.maximum(dp.sum(0), 1e-10)[:, None, None]
+    prior = np.log(np.where(hap[:, None] == 0, [[1 - p.epsilon_hap, p.epsilon_hap]], [[p.epsilon_hap, 1 - p.epsilon_hap]]))[:, :, None]
+    theta, starts = _clamped(theta, 1e-10), np.arange(theta.shape[2])
+    last, best = np.full(len(starts), np.nan), {"log_lik": -np.inf, "start": -1}
+
+    def times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return (a @ x.reshape(len(x), -1)).reshape(len(a), 2, -1)
+
+    for it in range(p.max_iter):
+        phi = times(ad, np.log(theta)) + times(bd, np.log(1 - theta)) + prior
+        top = phi.max(1)
+        less = np.exp(phi.min(1) - top)  # of the unlikelier state, to the likelier one
+        total = (top + np.log1p(less)).sum(0)
+        second = phi[:, 1] > phi[:, 0]
+        psi = np.where(second, less, 1.0) / (1 + less)
+        psi = np.stack([psi, np.where(second, 1.0, less) / (1 + less)], 1)
+        theta = _clamped((times(ad.T, psi) + times(bd.T, psi[:, ::-1])) / depth, 1e-10)
+        done = (np.abs(total - last) < p.epsilon) | (it + 1 == p.max_iter)
+        for k in np.flatnonzero(done):
+            if (total[k], -starts[k]) > (best["log_lik"], -best["start"]):
+                best = {"start": int(starts[k]), "log_lik": float(total[k]), "psi": psi[:, :, k], "theta": theta[:, :, k], "hap_new": second[:, k].astype(int)}
+        starts, last, theta = starts[~done], total[~done], theta[:, :, ~done]
+        if not len(starts):
             break
-        last = seen[-1]
-    new = np.where(psi[:, 1] > psi[:, 0], 1, 0)
-    flip = (new != hap).astype(int)
-    return {"psi": psi, "theta": theta, "log_lik": seen, "hap_new": new, "flip": flip, "ad_phased": np.where(flip[:, None] == 1, bd, ad)}
+    flip = (best["hap_new"] != hap).astype(int)
+    return best | {"flip": flip, "ad_phased": np.where(flip[:, None] == 1, bd, ad)}
 
 
 def best_correction(ad: np.ndarray, dp: np.ndarray, hap: np.ndarray, p: CorrectionParams, seed: int) -> dict:
-    """The start of the highest likelihood; the first of equal ones."""
-    rng = np.random.default_rng([p.seed, seed])
-    return max((correct_phase(ad, dp, hap, p, rng) for _ in range(p.starts)), key=lambda r: r["log_lik"][-1])
+    """The start of the highest likelihood; the first of equal ones. So many
+    starts go together that memory is bounded by the region's size."""
+    rng, most = np.random.default_rng([p.seed, seed]), max(1, 500_000 // sum(ad.shape))
+    parts = [min(most, p.starts - k) for k in range(0, p.starts, most)]
+    # the generator deals a start's cells together, so parts of any size give the same starts
+    found = (correct_phase(ad, dp, hap, p, normalise(rng.random((k, ad.shape[1], 2)), 2).transpose(1, 2, 0)) for k in parts)
+    return max(found, key=lambda r: r["log_lik"])

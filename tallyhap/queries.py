@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .functions import alleles, chrom, cigar, fields
 from .operators import depth, filters, fixref, haplotypes, intervals, matrices, phasing, pileup, regions, variants
-from .params import AlleleParams, CorrectionParams, DepthParams, PhaseParams
+from .params import AlleleParams, DepthParams, PhaseParams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -502,7 +502,7 @@ def rpc_flip(spark: SparkSession, d: str) -> DataFrame:
     snps = A.snps(spark, d)
     plp = pileup.pileup_counts(_first(spark, d), snps).where("dp > 0")
     phase = haplotypes.region_snps(A.regions(spark, d), snps, A.BIN).join(plp, "snp_idx").select("region_idx", "snp_idx", "cell", "ad", "dp", F.col("ref_hap").alias("hap"))
-    return phasing.corrected_snps(phase, CorrectionParams(starts=5, max_iter=200))
+    return phasing.corrected_snps(phase)
 
 
 @query()

@@ -4,8 +4,10 @@ import struct
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from tallyhap import queries
 from tallyhap.functions import alleles, chrom, cigar, fields
 from tallyhap.operators import depth, fixref, haplotypes, kernels, phasing, pileup, regions, variants
 from tallyhap.params import AlleleParams, CorrectionParams, DepthParams, PhaseParams, check_modes, resolve_umi_tag
@@ -203,6 +205,49 @@ def test_phase_correction(spark):
     assert got.where("region_idx = 3").first().flip == 0
 
 
+def plain_correction(ad, dp, hap, starts, max_iter, rng):
+    """One start after the other: (likelihood, corrected haplotypes) of each."""
+    out = []
+    for _ in range(starts):
+        theta = rng.random((ad.shape[1], 2))
+        theta = np.clip(theta / theta.sum(1, keepdims=True), 1e-10, 1 - 1e-10)
+        pi, last = np.where(hap[:, None] == [[0, 1]], 0.99, 0.01), np.inf
+        for _ in range(max_iter):
+            phi = ad @ np.log(theta) + (dp - ad) @ np.log(1 - theta) + np.log(pi)
+            total = np.logaddexp(phi[:, 0], phi[:, 1])
+            psi = np.exp(phi - total[:, None])
+            theta = np.clip((ad.T @ psi + (dp - ad).T @ (1 - psi)) / np.maximum(dp.sum(0), 1e-10)[:, None], 1e-10, 1 - 1e-10)
+            if abs(total.sum() - last) < 1e-6:
+                break
+            last = total.sum()
+        out.append((total.sum(), psi.argmax(1)))
+    return out
+
+
+def many_optima(seed=35):
+    r = np.random.default_rng(seed)
+    dp = r.integers(0, 30, (12, 5)).astype(float)
+    return r.binomial(dp.astype(int), r.random((12, 5))).astype(float), dp, r.integers(0, 2, 12)
+
+
+def test_phase_correction_is_the_best_of_all_starts(spark):
+    ad, dp, hap = many_optima()
+    runs = plain_correction(ad, dp, hap, 100, 1000, np.random.default_rng([0, 1]))
+    best = max(runs, key=lambda x: x[0])
+    assert best[0] > max(runs[:5], key=lambda x: x[0])[0] + 0.01 and (best[1] != max(runs[:5], key=lambda x: x[0])[1]).any()
+    got = kernels.best_correction(ad, dp, hap, CorrectionParams(), 1)
+    assert np.isclose(got["log_lik"], best[0], atol=1e-5) and (got["hap_new"] == best[1]).all() and (got["flip"] == (best[1] != hap)).all()
+    for starts in (1, 5):  # the starts are the same, however many there are
+        assert np.isclose(kernels.best_correction(ad, dp, hap, CorrectionParams(starts=starts), 1)["log_lik"], max(x[0] for x in runs[:starts]), atol=1e-5)
+
+
+def test_phase_correction_query_uses_all_starts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(phasing, "corrected_snps", lambda phase, p=CorrectionParams(): seen.append(p) or phase)
+    queries.QUERIES["rpc_flip"](spark, DATA)
+    assert seen == [CorrectionParams()] and (seen[0].starts, seen[0].max_iter) == (100, 1000)
+
+
 SAM = "@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000\n" + "".join(
     f"r{k}\t{flag}\tchr1\t{pos}\t60\t40M\t*\t0\t0\t{'ACGT' * 10}\t{'I' * 40}\tCB:Z:{cell}\tUB:Z:U{k % 3}\tNM:i:0\n"
     for k, (pos, cell, flag) in enumerate([(101, "B", 0), (105, "A", 0), (110, "A", 16), (300, "C", 0), (102, "A", 4)])
