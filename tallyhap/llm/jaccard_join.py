@@ -23,10 +23,10 @@ Candidates are verified on whole texts. Packed arrays are shuffled, not rows;
 texts are read again only for the sets in candidate pairs.
 
 Nulls: a null or wordless text has the empty set, links with nothing and is its
-own component. Fewer than five words are one shingle. Ids are meant to be
-unique: rows that share one are one node of the graph, each row is returned,
-and if their texts differ one of them is compared. A null doc_id can join a
-component but never names one. Extra columns are ignored.
+own component. Fewer than five words are one shingle. Texts go by the MD5 of
+their own until the end, so rows without an id, or with an id that other texts
+have too, link and bridge as any others. A component is named by its smallest
+id, by null if it has none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,8 +56,8 @@ class JaccardParams:
     counted over all sets. frequent: how many of the most frequent shingles are
     broadcast (12 bytes each); local: sets of one batch that must share a
     shingle outside `known` for it to count. short: lists up to this length
-    meet in full at once. leaders: of a longer list. broadcast_ids: ids that are
-    broadcast at most (8 bytes each); beyond, texts are joined by a shuffle."""
+    meet in full at once. leaders: of a longer list. broadcast_ids: ids or
+    names that are broadcast at most (8 or 32 bytes each); beyond, texts are joined by a shuffle."""
 
     shingle: int = 5
     percent: int = 80
@@ -137,10 +137,8 @@ def _describe(p: JaccardParams, buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _batches(it, p.batch, p.shingle):
             sig = [signature(s) for s in sets]
-            # no column has nulls, which pandas would read as floats further on
-            known = [k is not None for k in keys]
             yield _mixed({
-                "bucket": [abs(a) % buckets for a, _ in sig], "doc": [True] * len(keys), "keyed": known, "key": [k if ok else 0 for k, ok in zip(keys, known)],
+                "bucket": [abs(a) % buckets for a, _ in sig], "doc": [True] * len(keys), "key": keys,
                 "n": [len(s) for s in sets], "s1": [a for a, _ in sig], "s2": [b for _, b in sig], "data": [b""] * len(keys),
             })
             every = np.sort(np.concatenate(list({x: s for x, s in zip(sig, sets)}.values())))
@@ -154,13 +152,13 @@ def _describe(p: JaccardParams, buckets: int):
             cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(every) else np.zeros(0, int)
             if len(cut):
                 no, zero = [False] * len(cut), [0] * len(cut)
-                yield _mixed({"bucket": bucket[cut], "doc": no, "keyed": no, "key": zero, "n": zero, "s1": zero, "s2": zero, "data": [_pack(x) for x in np.split(every, cut[1:])]})
+                yield _mixed({"bucket": bucket[cut], "doc": no, "key": [""] * len(cut), "n": zero, "s1": zero, "s2": zero, "data": [_pack(x) for x in np.split(every, cut[1:])]})
 
     return run
 
 
 def _mixed(columns: dict) -> pa.RecordBatch:
-    kind = {"doc": pa.bool_(), "keyed": pa.bool_(), "data": pa.binary()}
+    kind = {"doc": pa.bool_(), "key": pa.string(), "data": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, kind.get(k, pa.int64())) for k, v in columns.items()], names=list(columns))
 
 
@@ -186,7 +184,7 @@ def _count(p: JaccardParams):
         for f in it:
             data = ~f["doc"]
             parts += [_unpack(x) << np.uint64(24) | np.uint64(b) for b, x in zip(f["bucket"][data], f["data"][data])]
-            yield f.loc[~data, ["doc", "keyed", "key", "n", "s1", "s2"]].assign(token=0, count=0)
+            yield f.loc[~data, ["doc", "key", "n", "s1", "s2"]].assign(token=0, count=0)
         if parts:
             every = np.sort(np.concatenate(parts))
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
@@ -194,7 +192,7 @@ def _count(p: JaccardParams):
             hot = count > p.short
             for k in range(0, int(hot.sum()), 100_000):
                 t, c = every[first][hot][k : k + 100_000], count[hot][k : k + 100_000]
-                yield pd.DataFrame({"doc": False, "keyed": False, "key": 0, "n": 0, "s1": 0, "s2": 0, "token": t.view(np.int64), "count": c})
+                yield pd.DataFrame({"doc": False, "key": "", "n": 0, "s1": 0, "s2": 0, "token": t.view(np.int64), "count": c})
 
     return run
 
@@ -304,7 +302,8 @@ def _lists(p: JaccardParams):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
-    """pairs (a, b) of ids -> those linked, by their whole texts (key, text)."""
+    """pairs (a, b) of names -> those linked, by their whole texts (key, text);
+    a name stands for one text."""
     pairs = written(pairs, "jaccard-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = ids.count() <= p.broadcast_ids
@@ -314,7 +313,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
     two = one.join(need.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[str, np.ndarray] = {}
 
         def of(i, t) -> np.ndarray:
             if i not in known:
@@ -332,32 +331,33 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
         _words.clear()
         release_memory()
 
-    return two.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return two.select("a", "b", "ta", "tb").mapInPandas(run, "a string, b string")
 
 
 def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row."""
     p, spark = params, docs.sparkSession
     small_batches(spark)
-    few = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    ids = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    few = ids.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))  # texts go by name, since ids may be null or used again
+    named_ids = written(few.select("id", "key"), "jaccard-ids")
     n_parts = partitions(spark)
     buckets = 4 * n_parts
-    # equal texts: one of them, of the smallest id, stands for all
-    texts_of = few.where("key is not null").select("key", F.md5(F.coalesce("text", F.lit(""))).alias("h")).groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("h2"), F.count("*").alias("k"))
-    texts_of = written(texts_of.where("h = h2").drop("h2"), "jaccard-texts")  # ids whose rows all have one text, k times
-    first = texts_of.groupBy("h").agg(F.min("key").alias("rep"))
-    same = written(texts_of.join(first, "h").where("key <> rep").select("key", "rep", "k"), "jaccard-same")
+    # of equal texts the one of the smallest id is read; ids of several texts and null ones are all read
+    texts_of = named_ids.where("id is not null").groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("key2")).where("key = key2")
+    first = texts_of.groupBy("key").agg(F.min("id").alias("rep"))
+    same = written(texts_of.join(first, "key").where("id <> rep").select("id"), "jaccard-same")
     small = same.count() <= p.broadcast_ids
-    one = few.join(F.broadcast(same.select("key")) if small else same.select("key"), "key", "left_anti")
+    one = few.join(F.broadcast(same) if small else same, "id", "left_anti").select("key", "text")
     # documents and counts go through one exchange; only frequent elements come out of it
-    mixed = one.mapInArrow(_describe(p, buckets), "bucket long, doc boolean, keyed boolean, key long, n long, s1 long, s2 long, data binary").repartition(n_parts, "bucket")
-    seen = written(mixed.mapInPandas(_count(p), "doc boolean, keyed boolean, key long, n long, s1 long, s2 long, token long, count long"), "jaccard-sets")
-    rows = seen.where("doc").select(F.when(F.col("keyed"), F.col("key")).alias("key"), "n", "s1", "s2")
+    mixed = one.mapInArrow(_describe(p, buckets), "bucket long, doc boolean, key string, n long, s1 long, s2 long, data binary").repartition(n_parts, "bucket")
+    seen = written(mixed.mapInPandas(_count(p), "doc boolean, key string, n long, s1 long, s2 long, token long, count long"), "jaccard-sets")
+    rows = seen.where("doc").select("key", "n", "s1", "s2").distinct()
     hot = seen.where("not doc").orderBy(F.desc("count"), "token").select("token", "count").limit(p.frequent).toPandas()  # a bounded table
     tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], hot["count"].to_numpy(np.int32)[order]))
-    # equal sets are one class, named by its smallest id (s1 alone only steers the search)
+    # equal sets are one class, named by its smallest text's name (s1 alone only steers the search)
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
     packed = one.mapInArrow(_prefixes(p, frequent, buckets, buckets), "bucket long, data binary").repartition(n_parts, "bucket")
     lists = written(packed.mapInPandas(_lists(p), "a long, b long, token long, n long, at long"), "jaccard-lists")
@@ -367,22 +367,23 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
         return df.join(name.select(F.col("s1").alias(column), F.col("rep").alias(f"{column}_")), column).drop(column).withColumnRenamed(f"{column}_", column)
 
     pairs = lists.where("at < 0").select("a", "b").distinct()
-    edges = verified(_ordered(named(named(pairs, "a"), "b")), few, p)
+    edges = verified(_ordered(named(named(pairs, "a"), "b")), few.select("key", "text"), p)
     parts = connected(edges)
     long = named(lists.where("at >= 0").select("a", "token", "n", "at"), "a").join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
     long = written(long.select("a", "token", "n", "at", F.coalesce("component", "a").alias("c")), "jaccard-long")
     again = _across(long, p)
     if not again.isEmpty():
-        more = verified(_ordered(again), few, p)
+        more = verified(_ordered(again), few.select("key", "text"), p)
         parts = connected(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     parts = parts.withColumnRenamed("node", "rep")
     whole = classes.join(parts, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").select("key", "n", "component")
-    # the other rows of equal texts take over what was found for theirs
-    rest = same.join(out.select(F.col("key").alias("rep"), "n", "component").distinct(), "rep")
-    rest = rest.select("key", "n", "component", F.explode(F.array_repeat(F.lit(1), F.col("k").cast("int")))).drop("col")
-    every = out.unionByName(rest)
-    return every.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
+    least = named_ids.where("id is not null").groupBy("key").agg(F.min("id").alias("id"))
+    found = rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").join(least, "key", "left")
+    found = written(found.select("key", "n", "component", "id"), "jaccard-found")
+    # only here do ids come in: a component's name is its smallest one
+    smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    out = named_ids.join(found.drop("id").join(smallest, "component", "left"), "key")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

@@ -344,6 +344,21 @@ def test_jaccard_edges_of_input(spark):
     assert jaccard_join.similar_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_with_reused_and_null_ids(spark):
+    w = [f"w{k}" for k in range(60)]
+    x, near = " ".join(w), " ".join(w[:-1] + ["end"])
+    bridge = [" ".join(w[k : k + 44]) for k in (0, 4, 8)]  # the outer two resemble the middle one only
+    y = [f"{a} other" for a in ("p q r s t u", "k l m n o")]
+    rows = [(1, x), (1, y[0]), (2, near), (3, x.upper()), (4, y[0] + " "), (None, y[1]), (None, y[1].upper()), (6, bridge[0]), (None, bridge[1]), (5, bridge[2])]
+    sets = {k: t.lower().split() for k, (_, t) in enumerate(rows)}
+    want = brute_components([(k, " ".join(v)) for k, v in sets.items()])
+    name = {c: min((rows[k][0] for k in want if want[k][1] == c and rows[k][0] is not None), default=None) for _, c in want.values()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_join.similar_components(df).collect()), key=str)
+    assert got == sorted(((i, want[k][0], name[want[k][1]]) for k, (i, _) in enumerate(rows)), key=str)
+    assert name[want[7][1]] == 5 and want[7][1] == want[8][1] == want[9][1]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 30)] + [(50, 40), (41, 50), (60, 60), (None, 3)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(chain, "a long, b long")).collect()))
