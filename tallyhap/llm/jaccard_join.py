@@ -19,6 +19,11 @@ Set-relation skipping on top of a prefix filter:
   computed again. Only sets outside the list's largest component still meet the
   rest of the list, so no link between components is lost.
 
+* That is enough for components (similar_components). For all links (class_links,
+  link_counts) a class keeps its difference from the class that leads it, and
+  followers of one leader are decided from these, exactly and without texts;
+  other pairs of long lists are verified.
+
 Candidates are verified on whole texts. Packed arrays are shuffled, not rows;
 texts are read again only for the sets in candidate pairs.
 
@@ -57,7 +62,8 @@ class JaccardParams:
     broadcast (12 bytes each); local: sets of one batch that must share a
     shingle outside `known` for it to count. short: lists up to this length
     meet in full at once. leaders: of a longer list. broadcast_ids: ids or
-    names that are broadcast at most (8 or 32 bytes each); beyond, texts are joined by a shuffle."""
+    names that are broadcast at most (8 or 32 bytes each); beyond, texts are joined by a shuffle.
+    block: followers of one leader that are compared with as many others at once."""
 
     shingle: int = 5
     percent: int = 80
@@ -68,6 +74,7 @@ class JaccardParams:
     leaders: int = 2
     batch: int = 500_000
     broadcast_ids: int = 500_000
+    block: int = 1000
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -301,9 +308,7 @@ def _lists(p: JaccardParams):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
-    """pairs (a, b) of names -> those linked, by their whole texts (key, text);
-    a name stands for one text."""
+def _with_texts(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
     pairs = written(pairs, "jaccard-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = ids.count() <= p.broadcast_ids
@@ -311,7 +316,12 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
     need = written(need, "jaccard-texts")
     one = pairs.join(need.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(need.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    return two.select("a", "b", "ta", "tb")
+
 
+def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
+    """pairs (a, b) of names -> those linked, by their whole texts (key, text);
+    a name stands for one text."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, np.ndarray] = {}
 
@@ -331,12 +341,25 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
         _words.clear()
         release_memory()
 
-    return two.select("a", "b", "ta", "tb").mapInPandas(run, "a string, b string")
+    return _with_texts(pairs, texts, p).mapInPandas(run, "a string, b string")
 
 
-def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of each row."""
-    p, spark = params, docs.sparkSession
+@dataclass(frozen=True)
+class _Found:
+    """ids: id and text's name (key) of each row. texts: key, text. rows: key,
+    n, s1, s2. classes: s1, s2, rep. pairs (a, b) of representatives to compare
+    at once, and (a, token, n, at) of long lists."""
+
+    ids: DataFrame
+    texts: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    pairs: DataFrame
+    long: DataFrame
+
+
+def _search(docs: DataFrame, p: JaccardParams, key: str, text: str) -> _Found:
+    spark = docs.sparkSession
     small_batches(spark)
     ids = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     few = ids.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))  # texts go by name, since ids may be null or used again
@@ -366,23 +389,32 @@ def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(),
     def named(df: DataFrame, column: str) -> DataFrame:  # noqa: E306
         return df.join(name.select(F.col("s1").alias(column), F.col("rep").alias(f"{column}_")), column).drop(column).withColumnRenamed(f"{column}_", column)
 
-    pairs = lists.where("at < 0").select("a", "b").distinct()
-    edges = verified(_ordered(named(named(pairs, "a"), "b")), few.select("key", "text"), p)
+    pairs = _ordered(named(named(lists.where("at < 0").select("a", "b").distinct(), "a"), "b"))
+    long = named(lists.where("at >= 0").select("a", "token", "n", "at"), "a")
+    return _Found(named_ids, few.select("key", "text"), rows, classes, pairs, long)
+
+
+def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id of each row; of the links only those that
+    components need are computed."""
+    p = params
+    f = _search(docs, p, key, text)
+    edges = verified(f.pairs, f.texts, p)
     parts = connected(edges)
-    long = named(lists.where("at >= 0").select("a", "token", "n", "at"), "a").join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
+    long = f.long.join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
     long = written(long.select("a", "token", "n", "at", F.coalesce("component", "a").alias("c")), "jaccard-long")
     again = _across(long, p)
     if not again.isEmpty():
-        more = verified(_ordered(again), few.select("key", "text"), p)
+        more = verified(_ordered(again), f.texts, p)
         parts = connected(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     parts = parts.withColumnRenamed("node", "rep")
-    whole = classes.join(parts, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("component"))
-    least = named_ids.where("id is not null").groupBy("key").agg(F.min("id").alias("id"))
-    found = rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").join(least, "key", "left")
+    whole = f.classes.join(parts, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("component"))
+    least = f.ids.where("id is not null").groupBy("key").agg(F.min("id").alias("id"))
+    found = f.rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").join(least, "key", "left")
     found = written(found.select("key", "n", "component", "id"), "jaccard-found")
     # only here do ids come in: a component's name is its smallest one
     smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = named_ids.join(found.drop("id").join(smallest, "component", "left"), "key")
+    out = f.ids.join(found.drop("id").join(smallest, "component", "left"), "key")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -401,3 +433,124 @@ def _across(long: DataFrame, p: JaccardParams) -> DataFrame:
     left = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
     fit = 100 * left >= p.percent * (F.col("m") + F.col("n") - left)
     return x.join(y, (F.col("token") == F.col("t")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fit).select("a", "b").distinct()
+
+
+def class_links(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every pair a < b of linked classes, named by their smallest ids. A class
+    without an id has no name, so its pairs are not among these."""
+    f = _search(docs, params, key, text)
+    single, groups = _links(f, params)
+    both = single.unionByName(_grouped(groups, params, True))
+    ids = _class_of_rows(f).where("id is not null").groupBy("rep").agg(F.min("id").alias("id"))
+    for c in ("a", "b"):
+        both = both.join(ids.select(F.col("rep").alias(c), F.col("id").alias(f"id_{c}")), c)
+    return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a <> b").distinct()
+
+
+def link_counts(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and n_links of each row: how many other rows its text is
+    linked with, equal ones included. No pair of a leader's followers is a row."""
+    f = _search(docs, params, key, text)
+    single, groups = _links(f, params)
+    of_rows = written(_class_of_rows(f), "jaccard-rows")
+    weight = written(of_rows.where("rep is not null").groupBy("rep").agg(F.count("*").alias("w")), "jaccard-weights")
+    ends = single.select("a", "b").unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(weight.select(F.col("rep").alias("b"), "w"), "b").groupBy("a").agg(F.sum("w").alias("k"))
+    inner = _grouped(groups.join(weight.withColumnRenamed("rep", "a"), "a"), params, False)
+    k = ends.unionByName(inner).groupBy("a").agg(F.sum("k").alias("k"))
+    n = weight.join(k.withColumnRenamed("a", "rep"), "rep", "left").select("rep", (F.col("w") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"))
+    return of_rows.join(n, "rep", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _class_of_rows(f: _Found) -> DataFrame:
+    """id, n and class (rep) of each row; an empty set has no class."""
+    whole = f.classes.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), "rep")
+    named = f.rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").select("key", "n", "rep")
+    return f.ids.join(named, "key").select("id", "n", "rep")
+
+
+def _links(f: _Found, p: JaccardParams) -> tuple[DataFrame, DataFrame]:
+    """Linked pairs (a, b) of classes that do not follow the same leader, and
+    for each follower (a) its leader and the difference of the two sets."""
+    tried = written(f.pairs, "jaccard-tried")
+    edges = written(verified(tried, f.texts, p), "jaccard-edges")
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ends.groupBy("a").agg(F.count("*").alias("deg"))
+    best = ends.join(degree.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.struct("deg", "b")).alias("x")).join(degree, "a")
+    # the best linked of a class and its neighbours leads it
+    leads = written(best.select("a", F.when(F.col("x.deg") > F.col("deg"), F.col("x.b")).when((F.col("x.deg") == F.col("deg")) & (F.col("x.b") > F.col("a")), F.col("x.b")).otherwise(F.col("a")).alias("lead")), "jaccard-leads")
+
+    def differ(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in it:
+            out = []
+            for a, b, ta, tb in zip(g["a"], g["b"], g["ta"], g["tb"]):
+                x, y = shingles(ta, p.shingle), shingles(tb, p.shingle)
+                d = np.setxor1d(x, y, assume_unique=True)
+                out.append((a, b, len(x), len(y), (len(d) + len(y) - len(x)) // 2, d.tobytes()))
+            yield pd.DataFrame(out, columns=["a", "lead", "n", "l", "miss", "d"])
+        _words.clear()
+        release_memory()
+
+    groups = written(_with_texts(leads.select("a", F.col("lead").alias("b")), f.texts, p).mapInPandas(differ, "a string, lead string, n long, l long, miss long, d binary"), "jaccard-followers")
+
+    def led(df: DataFrame, column: str) -> DataFrame:
+        return df.join(leads.select(F.col("a").alias(column), F.col("lead").alias(f"{column}_lead")), column, "left").withColumn(f"{column}_lead", F.coalesce(f"{column}_lead", column))
+
+    long = written(led(f.long, "a").withColumnRenamed("a_lead", "c"), "jaccard-long")
+    rest = _across(long, p)
+    rest = _ordered(rest).join(tried, ["a", "b"], "left_anti")
+    apart = led(led(edges, "a"), "b").where("a_lead <> b_lead").select("a", "b")
+    return written(apart.unionByName(verified(rest, f.texts, p)), "jaccard-links"), groups
+
+
+def _grouped(groups: DataFrame, p: JaccardParams, pairs: bool) -> DataFrame:
+    """The answers of each leader's followers among themselves, exactly, from
+    their differences: of l elements of the leader, two sets share those that
+    neither lacks, and those that both have besides. Pairs (a, b), or (a, k) with
+    the weights w of a's partners summed. Blocks of followers meet in turn."""
+    sizes = groups.groupBy("lead").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks")).where("blocks > 0")
+    some = groups.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        x = g[g["own"] == i].sort_values("a")
+        y = x if i == j else g[g["own"] == j].sort_values("a")
+        n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None]
+        common = int(g["l"].iloc[0]) - x["miss"].to_numpy()[:, None] - y["miss"].to_numpy()[None] + _shared(list(x["d"]), list(y["d"])) if len(x) and len(y) else np.zeros((len(x), len(y)), np.int64)
+        ok = linked(common, n, m, p.percent)
+        if i == j:
+            np.fill_diagonal(ok, False)
+        if pairs:
+            u, v = np.nonzero(np.triu(ok) if i == j else ok)
+            return pd.DataFrame({"a": x["a"].to_numpy()[u], "b": y["a"].to_numpy()[v]})
+        k = pd.DataFrame({"a": x["a"], "k": ok @ y["w"].to_numpy()})
+        return k if i == j else pd.concat([k, pd.DataFrame({"a": y["a"], "k": x["w"].to_numpy() @ ok})])
+
+    return some.groupBy("lead", "i", "j").applyInPandas(run, "a string, b string" if pairs else "a string, k long")
+
+
+def _shared(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many elements each of x has in common with each of y, by products of
+    0/1 matrices over the elements that both sides hold."""
+    sides = []
+    for d in (x, y):
+        sides.append((np.frombuffer(b"".join(d), np.uint64), np.repeat(np.arange(len(d)), [len(b) // 8 for b in d])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(x), len(y)), np.int64)
+    kept = []
+    for e, row in sides:
+        at = np.minimum(np.searchsorted(both, e), max(0, len(both) - 1))
+        hit = both[at] == e if len(both) else np.zeros(len(e), bool)
+        at, row = at[hit], row[hit]
+        order = np.argsort(at, kind="stable")
+        kept.append((at[order], row[order]))
+    for k in range(0, len(both), 2048):
+        parts = []
+        for (at, row), d in zip(kept, (x, y)):
+            a, b = np.searchsorted(at, [k, k + 2048])
+            z = np.zeros((len(d), 2048), np.float32)
+            z[row[a:b], at[a:b] - k] = 1
+            parts.append(z)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out

@@ -75,11 +75,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, d, "documents"))
 
 
+def op9_ngram_jaccard_links(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.link_counts(table(spark, d, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_source_mixing)}
 
 #: A-Z in lower case, and the pattern of decontamination's words, for SQL.
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,6 +149,14 @@ ORACLE_SQL = {
                array_to_string(list_transform(part, lambda n: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 10) & 31) + 1, 1)
                    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31) + 1, 1)), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM u""",
+    "op9_ngram_jaccard_links": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+              JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o))
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(k, 0) AS n_links
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM e GROUP BY x) USING (doc_id)""",
     "op9_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),

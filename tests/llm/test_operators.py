@@ -335,6 +335,21 @@ def test_jaccard_against_brute_force(spark, params):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("params", [jaccard_join.JaccardParams(short=2, batch=2000, block=9), jaccard_join.JaccardParams(short=3, broadcast_ids=0)])
+def test_jaccard_links_against_brute_force(spark, params):
+    rows = list(near_copies(260, params.short)) + [(1000 + k, t) for k, t in enumerate(["a b c d e f g"] * 3)]
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in words.items()}
+    near = {(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    name = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard_join.link_counts(df, params).collect()}
+    assert got == {i: (len(sets[i]), sum(i in x for x in near)) for i in sets}
+    pairs = [tuple(r) for r in jaccard_join.class_links(df, params).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {tuple(sorted((name[i], name[j]))) for i, j in near if name[i] != name[j]}
+    assert jaccard_join.link_counts(df.limit(0), params).count() == 0
+
+
 def test_jaccard_edges_of_input(spark):
     t = "one two three four five six seven"
     rows = [(7, t), (3, t), (3, t), (None, t), (8, ""), (9, None), (10, " \n"), (11, "one two"), (12, "ONE two"), (13, "two one")]
