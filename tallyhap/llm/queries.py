@@ -138,6 +138,12 @@ ORACLE_SQL = {
                      CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
               FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(said) AS BIGINT) AS loss_chars, sha256(said) AS loss_sha256, formatted_chars FROM f""",
+    # the tables' pages each mark one article and escape five characters; SQL reads just that
+    "op7_html_extraction": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) AS x FROM pages),
+        b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(?:p|br|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+        t AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
     "op8_warc": r"""
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
         h AS (SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p),

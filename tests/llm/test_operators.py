@@ -7,6 +7,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -239,19 +240,70 @@ def test_extraction_rules():
     <article class="post"><header><h1>T &amp; x</h1></header><p>one<b>two</b>
       three<br>four<p>five<ul><li>a<li>b</ul><form><input>f</form><aside>z</aside><script>var a="</p>";</script><style>p{}</style></article>
     <section id="comments"><article class="comment">cc</article></section><footer>ft</footer>"""
-    assert html_extract.text_of(html_extract.parse(page)[0]) == "T & x onetwo three four five a b"
-    for broken in ("<", "<p", "</p></div>x", "<article>y", "a<b>c", "<!-- x", "<script>x", "&amp;", "<div class='ad'>z</div>"):
-        html_extract.text_of(html_extract.parse(broken)[0])
-    assert html_extract.text_of(html_extract.parse("a<b>c")[0]) == "ac"
+    assert html_extract.Page(page).text() == "T & x onetwo three four five a b"
+    for broken in ("<", "<p", "</p></div>x", "<article>y", "a<b>c", "<!-- x", "<script>x", "&amp;", "<div class='ad'>z</div>", "<p title=it's>x</p>", "</a></a>", "<p a='"):
+        html_extract.Page(broken).text()
+    assert html_extract.Page("a<b>c").text() == "ac" and html_extract.Page("<p title=it's>x</p>").text() == "x" and html_extract.Page('<p a="1>2">x<br/>y').text() == "x y"
+    words_in_article = "<article><h2 id=search>How to search</h2><div class=post-header><h1>T</h1></div><p class=share>k</p></article>"
+    assert html_extract.Page(words_in_article).text() == "How to search T k"
+
+
+@pytest.mark.parametrize("piece", ['<a "x', '<a x="', "<a x='\" ", "<div>", "</p>", "<svg>", "<![CDATA[", "<h1>", "<b><div>", "<span>", '<p class="', "<table><tr><td>", "<!-"])
+def test_broken_pages_are_read_in_one_pass(piece):
+    seconds = []
+    for size in (50_000, 400_000):
+        start = time.process_time()
+        html_extract.Page(piece * (size // len(piece))).text()
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 20 * seconds[0] + 0.5  # 8 times the text; a second scan of it would take 64 times as long
+
+
+def brute_tree(pages):
+    """Figures of every node by plain counting over a host's pages."""
+    seen = {}
+    for h in pages:
+        for path, *row in html_extract.Page(h).features():
+            seen.setdefault(path, []).append(row)
+
+    def entropy(rows, k):
+        m, forms = len(rows), {}
+        for r in rows:
+            forms[r[k]] = forms.get(r[k], 0) + 1
+        return 0.5 if m == 1 else -sum(c / m * np.log(c / m) for c in forms.values()) / np.log(m)
+
+    return {path: (len(r), entropy(r, 0), entropy(r, 1), entropy(r, 2), sum(x[4] for x in r) / max(1, sum(x[3] for x in r))) for path, r in seen.items()}
+
+
+def test_style_tree_against_counting(spark):
+    r = random.Random(21)
+    part = lambda: f"<{r.choice('p div ul'.split())} class={r.choice('xy')}>{r.choice(['same', 'a b', str(r.random())])}<a>{r.choice('uv')}</a>"
+    rows = [(f"http://h{k % 3}.com/{k}", "<body>" + "".join(part() for _ in range(r.randint(0, 5))) + "<article>" + part()) for k in range(40)]
+    got = {}
+    for x in html_extract.style_tree(spark.createDataFrame(rows, "url string, html string").repartition(3)).collect():
+        got.setdefault(x.host, {})[x.path] = (x.m, x.shape, x.content, x.above, x.links)
+    for k in range(3):
+        want = brute_tree([h for u, h in rows if f"//h{k}." in u])
+        assert set(got[f"h{k}.com"]) == set(want)
+        assert all(np.allclose(got[f"h{k}.com"][path], v, atol=1e-9) for path, v in want.items())
 
 
 def test_site_tree_drops_what_a_host_repeats(spark):
     page = lambda k: f"<body><div class=x1>Same words on every page</div><div class=body><p>Story {k} tells of {k * 7}</p></div></body>"
+    # no name of an element says so: the menu in the article goes, twice the same word or not, and the article that all pages of a host share stays
+    menu = "<ul class=x2><li><a href=/>Home</a></li><li><a href=/>Home</a></li></ul>"
+    inside = lambda k: f"<body><article><h1>Story {k}</h1>{menu}<p>It tells of {k * 7}<div class=x3>Read on</div></article></body>"
+    shared = lambda k: f"<body><ul class=x2><li><a>n{k}</a></li></ul><article><h1>Known</h1><p>The <a>same</a> story</p></article></body>"
     rows = [(k, f"http://h.com/{k}", page(k), "t") for k in range(8)] + [(9, None, None, "t"), (10, "http://one.com/", page(1), "t"), (11, "http://h.com/a", "", "t")]
+    rows += [(20 + k, f"http://in.com/{k}", inside(k), "t") for k in range(8)] + [(40 + k, f"http://re.com/{k}", shared(k), "t") for k in range(8)]
+    rows += [(60, "http://lone.com/", inside(1), "t"), (61, "http://x.com/", "<body>y" + "<i>z</i> " * 50_000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     for most in (1000, 0):
         got = {r.page_id: r.text for r in html_extract.extract(df, html_extract.ExtractParams(broadcast_nodes=most)).collect()}
         assert got[3] == "Story 3 tells of 21" and got[9] == "" and got[11] == "" and got[10].startswith("Same words")
+        assert got[23] == "Story 3 It tells of 21" and got[43] == "Known The same story"
+        assert got[60] == "Story 1 Home Home It tells of 7 Read on"  # one page has no tree to tell by
+        assert got[61] == " ".join(["yz"] + ["z"] * 49_999)
+    assert html_extract.extract(df.limit(0)).count() == 0
 
 
 def test_pages_against_a_plain_reading(spark):
