@@ -376,7 +376,7 @@ def importance(n: Node, f: Figures | None, outside: float, p: ExtractParams) ->
     content, shape = (sure * x + (1 - sure) * 0.5 for x in (f.content, f.shape))
     out = {-1: p.names[0], -2: p.names[1], 1: p.names[2], 0: 0.0}[n.purpose]
     out += p.differs * sure * min(0.0, f.content - f.above) + p.content * (2 * content - 1)
-    out += p.shape[0 if n.article else 1] * (2 * shape - 1) - p.links * f.links**2 * (2 - content)
+    out += p.shape[0 if n.article else 1] * (2 * shape - 1) - p.links * sure * f.links**2 * (2 - content)
     return out + (p.inside if n.article else outside)
 
 
