@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, order: list, name: str, table: str) -> DataFrame:
+    """df with a column `name` that counts its rows from 0 in the given order:
+    ranges are sorted each by its own task, and their sizes give the offsets."""
+    spark, part, key = df.sparkSession, temp_column(df, "part"), [temp_column(df, f"order{k}") for k in range(len(order))]
+    keyed = df.select("*", *(c.alias(k) for c, k in zip(order, key)))
+    ranged = written(keyed.repartitionByRange(partitions(spark), *key).withColumn(part, F.spark_partition_id()), table)
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part).count().collect())  # one row a partition
+    before, offsets = 0, []
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    at = F.element_at(F.create_map(*(F.lit(x) for kv in offsets for x in kv)), F.col(part)) if offsets else F.lit(0)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*key)) - 1 + at
+    return ranged.withColumn(name, place.cast("long")).drop(part, *key)
+
+
 def temp_column(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names compare without case)."""
     have = {c.lower() for c in df.columns}

@@ -83,7 +83,11 @@ def op10_source_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_source_mixing)}
+def op10_mixing_targets(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixing_targets(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_source_mixing, op10_mixing_targets)}
 
 #: A-Z in lower case, and the pattern of decontamination's words, for SQL.
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,6 +142,17 @@ ORACLE_SQL = {
                      CAST(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
               FROM c GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(said) AS BIGINT) AS loss_chars, sha256(said) AS loss_sha256, formatted_chars FROM f""",
+    # the level that fills up exactly the sources below it, by running sums over the sources in order of limit by weight
+    "op10_mixing_targets": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+        w AS (SELECT source, n, CASE k % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM s),
+        c AS (SELECT *, 1.5 * sum(n) OVER ()::DOUBLE AS total, coalesce(sum(2 * n) OVER (ORDER BY 2 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS full_,
+                     sum(w) OVER (ORDER BY 2 * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS open_ FROM w WHERE n > 0),
+        -- the first source in this order that the level of all from it on leaves below its limit
+        f AS (SELECT total - full_ AS rest, open_ FROM c WHERE (total - full_) / open_ * w <= 2 * n ORDER BY 2 * n / w, source LIMIT 1),
+        t AS (SELECT w.source, w.n, CASE WHEN w.n = 0 THEN 0 WHEN rest / open_ * w > 2 * w.n THEN 2.0 * w.n ELSE rest * w / open_ END::DOUBLE AS target FROM w LEFT JOIN f ON true)
+        SELECT doc_id, size, n AS source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
     # the tables' pages each mark one article and escape five characters; SQL reads just that
     "op7_html_extraction": r"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1) AS x FROM pages),

@@ -4,6 +4,7 @@ clashing column names."""
 
 import base64
 import hashlib
+import heapq
 import html
 import random
 import re
@@ -206,10 +207,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= x.score <= 1 for x in got) and len(got) == len(texts)
     held = [(x.score >= 0.3, toxic[x.doc_id]) for x in got if x.h]
     assert np.mean([p for p, t in held if t]) > 0.85 and np.mean([p for p, t in held if not t]) < 0.1
+    # no labelled text is left out for its length, and of a repeated id the smallest text is learned from
+    long = docs(spark, [" ".join(word() for _ in range(9000)) + (" zorky" if k % 2 else "") for k in range(24)])
+    marks = spark.createDataFrame([(k, k % 2) for k in range(24)], "doc_id long, toxic int")
+    again = toxicity.train(long.unionByName(docs(spark, ["~" * 9] * 24)), marks)
+    assert again.platt[0] != 0 and vars(again.cnn)["E"].tolist() == vars(toxicity.train(long, marks).cnn)["E"].tolist()
     none = toxicity.train(df, labels.limit(0))
     assert toxicity.with_toxicity(df.limit(3), none).count() == 3
 
 
+def test_scores_against_plain_convolution():
+    """Word by word and filter by filter."""
+    r = np.random.default_rng(17)
+    model = toxicity.ToxicityModel(textcnn.TextCNN(toxicity.ToxicityParams().buckets, seed=3), (0.7, -0.2), toxicity.ToxicityParams())
+    cnn = model.cnn
+    texts = [None, "", "One", "Two; two", "été ÉTÉ x-y", " ".join("".join(map(chr, r.integers(97, 103, r.integers(1, 9)))) for _ in range(300))]
+    for text, got in zip(texts, model.scores(texts)):
+        words = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+        vectors = [sum(cnn.E[s] for s in model.word_symbols(w)) for w in words]
+        pad = [np.zeros(cnn.dim)] * (max(cnn.widths) - 1)
+        padded = [*pad, *(vectors or [np.zeros(cnn.dim)]), *pad]
+        pooled = []
+        for w, W, c in zip(cnn.widths, cnn.W, cnn.c):
+            at = range(len(padded) - max(cnn.widths) + 1)
+            pooled += [max(max(float(np.concatenate(padded[k : k + w]) @ W[:, f] + c[f]) for k in at), 0.0) for f in range(cnn.filters)]
+        logit = float(np.dot(pooled, cnn.v) + cnn.b)
+        assert abs(got - 1 / (1 + np.exp(-(0.7 * logit - 0.2)))) < 1e-4
+
+
 def test_long_texts_are_scored_whole():
     cnn = textcnn.TextCNN(50, seed=1)
     r = np.random.default_rng(8)
@@ -433,17 +458,51 @@ def test_components(spark):
 
 
 # -- 10 ------------------------------------------------------------------------
-def test_sainte_lague():
-    assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2]
+def plain_quotients(votes, seats, most=None):
+    """Seat by seat."""
+    won = [0] * len(votes)
+    heap = [(-v, i) for i, v in enumerate(votes) if v > 0 and (most is None or most[i] > 0)]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, i = heapq.heappop(heap)
+        won[i] += 1
+        if most is None or won[i] < most[i]:
+            heapq.heappush(heap, (-votes[i] / (2 * won[i] + 1), i))
+    return won
+
+
+def apportionments(n, parties):
     r = random.Random(11)
-    for _ in range(50):
-        votes, seats = [r.randint(0, 50) for _ in range(r.randint(1, 6))], r.randint(0, 40)
-        won = [0] * len(votes)
-        for _ in range(seats):
-            i = max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
-            if votes[i]:
-                won[i] += 1
-        assert mixing.sainte_lague(votes, seats) == won
+    yield [41.2] + [0.6] * 98, 100, None
+    for _ in range(n):
+        k = r.randint(1, r.choice([3, 40, parties]))
+        votes = [r.choice([0, r.randint(0, 9), r.random(), r.randint(0, 10**6), 7]) for _ in range(k)]
+        yield votes, r.choice([0, r.randint(0, 40), r.randint(0, 5000)]), r.choice([None, [r.randint(0, 100) for _ in votes]])
+
+
+def test_sainte_lague():
+    assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2] and mixing.sainte_lague([41.2] + [0.6] * 98, 100)[0] == 34
+    for votes, seats, most in apportionments(1000, 500):
+        top = None if most is None else most
+        if sum(votes) > 0:
+            assert mixing.sainte_lague(votes, seats, top) == plain_quotients(votes, seats, top), (votes, seats, most)
+
+
+def test_quotas_over_a_table_of_sources(spark):
+    r = random.Random(13)
+    for n, block in ((1, 8), (300, 8), (300, 500), (40, 100_000)):
+        p = mixing.MixParams(block=block)
+        size = {f"{r.choice('aé😀Z')}{k}" if k else None: r.choice([0, 3, r.randint(0, 100), r.randint(0, 10**5)]) for k in range(n)}
+        df = spark.createDataFrame(list(size.items()), "source string, size long").repartition(3)
+        goals = mixing.source_targets(df, p)
+        order = sorted(s for s in size if s is not None) + [None]
+        want = mixing.targets([size[s] for s in order], [p.weights[k % 3] for k in range(n)], 1.5 * sum(size.values()), 2)
+        got = {x.source: x for x in mixing.source_quotas(goals, p).collect()}
+        assert [got[s].rank for s in order] == list(range(n)) and np.allclose([got[s].target for s in order], want, rtol=1e-12)
+        goal, most = [got[s].target for s in order], [-(-2 * size[s] // block) if size[s] else 0 for s in order]
+        assert [got[s].quota for s in order] == plain_quotients(goal, round(1.5 * sum(size.values()) / block), most)
 
 
 def test_mix(spark):
@@ -454,16 +513,27 @@ def test_mix(spark):
     p = mixing.MixParams(shard=4000)
     rows = mixing.mix_sources(df, p).collect()
     again = mixing.mix_sources(df.repartition(7), p).collect()
-    key = lambda x: (x.doc_id, x.size, x.source_size, x.target, x.taken)
+    key = lambda x: (x.doc_id, x.size, x.source_size, x.target, x.taken, x.blocks)
     assert sorted(map(key, rows)) == sorted(map(key, again)) and len(rows) == len(texts) + 3
     assert all(0 <= x.taken <= 2 * x.size and x.size == len((texts + ["one two"] * 3)[x.doc_id].split() if (texts + ["one two"] * 3)[x.doc_id] else []) for x in rows)
+    for x in rows:  # the chosen words lie in the document, in order, apart
+        places = [k for b in x.blocks for k in range(b.start, b.end)]
+        assert places == sorted(set(places)) and all(0 <= k < x.size for k in places) and all(0 < b.end - b.start <= 8 for b in x.blocks)
+        assert x.taken == x.passes * x.size + len(places)
+    whole = {x.doc_id: x for x in mixing.mixed_rows(df, p).collect()}
+    assert all(whole[x.doc_id].text == (texts + ["one two"] * 3)[x.doc_id] and key(whole[x.doc_id]) == key(x) for x in rows)
     sizes, taken, goal = {}, {}, {}
     for x in rows:
         sizes[x.source] = sizes.get(x.source, 0) + x.size
         taken[x.source] = taken.get(x.source, 0) + x.taken
         goal[x.source] = x.target
-    order = sorted(s for s in sizes if s is not None) + [None]
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(sizes.values()), 2)))
-    assert all(abs(goal[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - want[s]) < 0.02 * want[s] for s in order)
-    assert abs(sum(want.values()) - 1.5 * sum(sizes.values())) < 1e-6 * sum(sizes.values())
-    assert mixing.mix_sources(df.limit(0)).count() == 0
+    # targets by plain steps: raise all open sources' level a little at a time
+    weight = dict(zip(sorted(s for s in sizes if s is not None) + [None], [5, 2, 1] * 9))
+    level, total = 0.0, 1.5 * sum(sizes.values())
+    for step in (10.0, 1e-1, 1e-3, 1e-5, 1e-7):
+        while sum(min(2 * sizes[s], weight[s] * (level + step)) for s in sizes) < total:
+            level += step
+    assert all(abs(goal[s] - min(2 * sizes[s], weight[s] * level)) < 1e-4 for s in sizes)
+    assert all(abs(taken[s] - goal[s]) < 0.02 * goal[s] for s in sizes)
+    for f in (mixing.mix_sources, mixing.mixed_rows, mixing.mixing_targets):
+        assert f(df.limit(0)).count() == 0 and f(df.where("size(split(text, ' ')) < 2")).count() == df.where("size(split(text, ' ')) < 2").count()
