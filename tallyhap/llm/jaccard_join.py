@@ -10,22 +10,25 @@ Set-relation skipping on top of a prefix filter:
   within a batch). They come first, in order of hash, as long as they are in few
   sets; the others follow; frequent ones come last. The table of frequent
   elements is the bounded one of the highest counts; it steers the order only.
-* Index lists (one per element) hold their sets by position. A list is cut into
-  blocks of one position; a block whose sets cannot reach the overlap from
-  there is skipped as a whole, and so are sets of unfit size.
+* Index lists (one per element) hold their sets by position, then size, and are
+  cut into blocks of one position. For a set and a block the sizes that can
+  reach the overlap from there are an interval; a block without such sizes is
+  skipped as a whole, and of others only the sets of the interval are met.
 * In a long list the sets of the lowest positions, which resemble most others,
   lead: the others are compared with them first. A set that proves similar to
   a leader takes over the leader's answers: pairs within one component are not
   computed again. Only sets outside the list's largest component still meet the
-  rest of the list, so no link between components is lost.
+  rest of the list, in parts of bounded size, so no link between components is
+  lost.
 
 * That is enough for components (similar_components). For all links (class_links,
   link_counts) a class keeps its difference from the class that leads it, and
   followers of one leader are decided from these, exactly and without texts;
   other pairs of long lists are verified.
 
-Candidates are verified on whole texts. Packed arrays are shuffled, not rows;
-texts are read again only for the sets in candidate pairs.
+Candidates are verified on whole texts: the one of a pair that has more partners
+is the hub, whose text goes once to each `block` of its partners. Packed arrays
+are shuffled, not rows; texts are read again only for the sets in candidate pairs.
 
 Nulls: a null or wordless text has the empty set, links with nothing and is its
 own component. Fewer than five words are one shingle. Texts go by the MD5 of
@@ -63,7 +66,8 @@ class JaccardParams:
     shingle outside `known` for it to count. short: lists up to this length
     meet in full at once. leaders: of a longer list. broadcast_ids: ids or
     names that are broadcast at most (8 or 32 bytes each); beyond, texts are joined by a shuffle.
-    block: followers of one leader that are compared with as many others at once."""
+    block: followers of one leader that are compared with as many others at
+    once, partners of one hub, and sets of a list's part."""
 
     shingle: int = 5
     percent: int = 80
@@ -255,9 +259,10 @@ def _fit(e: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarra
 
 
 def list_pairs(e: np.ndarray, token: np.ndarray, p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
-    """e: entries, by element `token`, then position. Pairs (rows of e) to be
-    compared now, and the rows of long lists."""
-    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    """e: entries, by element `token`, then position, then size. Pairs (rows of
+    e) to be compared now, and the rows of long lists."""
+    new = np.append(True, token[1:] != token[:-1])
+    first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(e)))
     out = []
     for k in range(2, p.short + 1):
@@ -266,13 +271,25 @@ def list_pairs(e: np.ndarray, token: np.ndarray, p: JaccardParams) -> tuple[np.n
             for j in range(i + 1, k):
                 out.append(np.stack([start + i, start + j]))
     long = size > p.short
-    start, n = first[long], size[long]
+    lists, start = np.flatnonzero(long), first[long]
+    blocks = np.flatnonzero(new | np.append(True, e["at"][1:] != e["at"][:-1]))
+    of = np.searchsorted(first, blocks, side="right") - 1  # each block's list
+    first_block, last_block = np.searchsorted(of, lists), np.searchsorted(of, lists, side="right")
+    n, count = e["n"].astype(np.int64), last_block - first_block
+    place = (np.cumsum(new | np.append(True, e["at"][1:] != e["at"][:-1])) - 1 << 32) + n  # blocks in turn, by size
     for lead in range(p.leaders):
-        # a list is in order of position: from the first block that the leader
-        # cannot reach on, all others fail too, and _fit drops them together
-        a = np.repeat(start + lead, n - lead - 1)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n - lead - 1) - (n - lead - 1), n - lead - 1)
-        out.append(np.stack([a, b]))
+        a = np.repeat(start + lead, count)
+        block = np.repeat(first_block, count) + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        m, i, j = n[a], e["at"][a].astype(np.int64), e["at"][blocks[block]].astype(np.int64)
+        # sizes that reach the overlap: (100 + percent) min(m - i, n - j) >= percent (m + n)
+        least = -(-(p.percent * m + (100 + p.percent) * j) // 100)
+        most = ((100 + p.percent) * (m - i) - p.percent * m) // p.percent
+        some = (least <= most) & (most >= 0)
+        a, block, least, most = a[some], block[some], least[some], most[some]
+        low = np.maximum(np.searchsorted(place, (block << 32) + np.minimum(least, 2**32 - 1)), a + 1)  # each pair once
+        high = np.searchsorted(place, (block << 32) + np.minimum(most, 2**32 - 1), side="right")
+        met = np.maximum(high - low, 0)
+        out.append(np.stack([np.repeat(a, met), np.repeat(low, met) + np.arange(met.sum()) - np.repeat(np.cumsum(met) - met, met)]))
     pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
     return pairs[:, _fit(e, pairs[0], pairs[1], p.percent)], np.flatnonzero(np.repeat(long, size))
 
@@ -288,7 +305,7 @@ def _lists(p: JaccardParams):
         bucket = np.repeat(np.array([b for b, _ in data], np.int64), [len(x) // _ENTRY.itemsize for _, x in data])
         data.clear()
         token = (e["mid"].astype(np.int64) << 32) | e["low"].astype(np.int64)
-        order = np.lexsort((e["s1"], e["at"], token, bucket))
+        order = np.lexsort((e["s1"], e["n"], e["at"], token, bucket))
         e, token, bucket = e[order], token[order], bucket[order]
         new = np.append(True, (token[1:] != token[:-1]) | (bucket[1:] != bucket[:-1]))
         # equal sets of different batches: one entry; they have equal positions
@@ -308,40 +325,56 @@ def _lists(p: JaccardParams):
     return run
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, p: JaccardParams, what, schema: str) -> DataFrame:
+    """what(a, b, x, y) of each pair (a, b) of names, by the sets of their whole
+    texts (key, text), where it is not None; a name stands for one text."""
     pairs = written(pairs, "jaccard-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = ids.count() <= p.broadcast_ids
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
+    ends = written(ends, "jaccard-ends")
+    few = ends.count() <= p.broadcast_ids
+    ids = ends.select("id")
     need = texts.join(F.broadcast(ids) if few else ids, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"])
     need = written(need, "jaccard-texts")
-    one = pairs.join(need.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(need.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb")
+    dealt = pairs
+    for c in ("a", "b"):
+        dealt = dealt.join(ends.select(F.col("id").alias(c), F.col("k").alias(f"k{c}")), c)
+    swap = F.col("kb") > F.col("ka")
+    dealt = dealt.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("leaf"), swap.alias("swap"), F.greatest("ka", "kb").alias("k"))
+    dealt = written(dealt.select("hub", "leaf", "swap", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("k") / p.block)).cast("int").alias("part")), "jaccard-dealt")
+    leaves = dealt.join(need.withColumnRenamed("key", "leaf"), "leaf").select("hub", "part", F.lit(True).alias("leaf_row"), "leaf", "swap", "text")
+    hubs = dealt.select("hub", "part").distinct().join(need.withColumnRenamed("key", "hub"), "hub").select("hub", "part", F.lit(False).alias("leaf_row"), F.lit("").alias("leaf"), F.lit(False).alias("swap"), "text")
+    met = leaves.unionByName(hubs).repartition(partitions(pairs.sparkSession), "hub", "part").sortWithinPartitions("hub", "part", "leaf_row")
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
+        for big in it:
+            for at in range(0, big.num_rows, 128):
+                out = []
+                f = big.slice(at, 128)
+                for hub, leaf_row, leaf, swap, text in zip(*(f.column(c).to_pylist() for c in ("hub", "leaf_row", "leaf", "swap", "text"))):
+                    own = shingles(text, p.shingle)
+                    if not leaf_row:  # comes before its leaves
+                        x = own
+                        continue
+                    r = what(leaf, hub, own, x) if swap else what(hub, leaf, x, own)
+                    if r is not None:
+                        out.append(r)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+        _words.clear()
+        release_memory()
 
-def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
-    """pairs (a, b) of names -> those linked, by their whole texts (key, text);
-    a name stands for one text."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, np.ndarray] = {}
+    return met.mapInArrow(run, schema)
 
-        def of(i, t) -> np.ndarray:
-            if i not in known:
-                if len(known) > 64:
-                    known.clear()
-                known[i] = shingles(t, p.shingle)
-            return known[i]
 
-        for f in it:
-            ok = []
-            for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"]):
-                x, y = of(a, ta), of(b, tb)
-                ok.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), p.percent))
-            yield f.loc[ok, ["a", "b"]]
-        _words.clear()
-        release_memory()
+def verified(pairs: DataFrame, texts: DataFrame, p: JaccardParams) -> DataFrame:
+    """pairs (a, b) of names -> those linked, by their whole texts (key, text)."""
 
-    return _with_texts(pairs, texts, p).mapInPandas(run, "a string, b string")
+    def near(a: str, b: str, x: np.ndarray, y: np.ndarray):
+        return (a, b) if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), p.percent) else None
+
+    return _compared(pairs, texts, p, near, "a string, b string")
 
 
 @dataclass(frozen=True)
@@ -397,25 +430,49 @@ def _search(docs: DataFrame, p: JaccardParams, key: str, text: str) -> _Found:
 def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row; of the links only those that
     components need are computed."""
-    p = params
-    f = _search(docs, p, key, text)
+    f = _search(docs, params, key, text)
+    found = _components(f, params)
+    # only here do ids come in: a component's name is its smallest one
+    smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
+    out = f.ids.join(found.drop("id").join(smallest, "component", "left"), "key")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, that of the smallest id (null last),
+    then of the smallest MD5 of the text, then of the smallest hash of the row;
+    rows without words are components of their own and all stay."""
+    f = _search(docs, params, key, text)
+    found = _components(f, params).where("component is not null").select("key", "component")
+    best = f.ids.join(found, "key").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select(F.col("x.id").alias("i"), F.col("x.key").alias("k"))
+    times = f.ids.groupBy(F.col("id").alias("i2"), F.col("key").alias("k2")).agg(F.count("*").alias("times"))
+    best = written(best.join(times, (F.col("k") == F.col("k2")) & F.col("i").eqNullSafe(F.col("i2"))).select("i", "k", "times"), "jaccard-kept")
+    words = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("key"), words.alias("words"))
+    here = (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))
+    out = rows.where("not words").select("row").unionByName(rows.where("words").join(best.where("times = 1"), here, "left_semi").select("row"))
+    repeated = best.where("times > 1")
+    if not repeated.isEmpty():
+        same = rows.where("words").join(repeated, here, "left_semi").groupBy("id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.unionByName(same.select("row"))
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _components(f: _Found, p: JaccardParams) -> DataFrame:
+    """key, n, component (null without words) and smallest id of each text."""
     edges = verified(f.pairs, f.texts, p)
     parts = connected(edges)
     long = f.long.join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
     long = written(long.select("a", "token", "n", "at", F.coalesce("component", "a").alias("c")), "jaccard-long")
-    again = _across(long, p)
+    again = written(_ordered(_across(long, p)), "jaccard-across")
     if not again.isEmpty():
-        more = verified(_ordered(again), f.texts, p)
+        more = verified(again, f.texts, p)
         parts = connected(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     parts = parts.withColumnRenamed("node", "rep")
     whole = f.classes.join(parts, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("component"))
     least = f.ids.where("id is not null").groupBy("key").agg(F.min("id").alias("id"))
     found = f.rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").join(least, "key", "left")
-    found = written(found.select("key", "n", "component", "id"), "jaccard-found")
-    # only here do ids come in: a component's name is its smallest one
-    smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = f.ids.join(found.drop("id").join(smallest, "component", "left"), "key")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return written(found.select("key", "n", "component", "id"), "jaccard-found")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -424,15 +481,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _across(long: DataFrame, p: JaccardParams) -> DataFrame:
     """Pairs of one long list that lie in different components and pass the
-    bound. One side is always outside the list's largest component."""
+    bound. One side is always outside the list's largest component; the other
+    is dealt into parts of about `block` sets, each of which it meets."""
     by = long.groupBy("token", "c").agg(F.count("*").alias("k"))
-    main = by.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    some = long.join(main, "token")
-    x = some.where("c <> main").select("token", F.col("a"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("c").alias("ca"))
-    y = some.select(F.col("token").alias("t"), F.col("a").alias("b"), F.col("n").alias("n"), F.col("at").alias("j"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("in_main"))
+    main = by.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size")).where("parts > 1")
+    main = written(main.select("token", "main", F.ceil(F.col("size") / p.block).cast("int").alias("blocks")), "jaccard-mixed")
+    some = written(long.join(main, "token").withColumn("in_main", F.col("c") == F.col("main")).drop("main"), "jaccard-some")
+    x = some.where("not in_main").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("c").alias("ca"))
+    y = some.select(F.col("token").alias("t"), F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("own"), F.col("a").alias("b"), F.col("n").alias("n"), F.col("at").alias("j"), F.col("c").alias("cb"), "in_main")
     left = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
     fit = 100 * left >= p.percent * (F.col("m") + F.col("n") - left)
-    return x.join(y, (F.col("token") == F.col("t")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fit).select("a", "b").distinct()
+    return x.join(y, (F.col("token") == F.col("t")) & (F.col("block") == F.col("own")) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & fit).select("a", "b").distinct()
 
 
 def class_links(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -480,18 +539,11 @@ def _links(f: _Found, p: JaccardParams) -> tuple[DataFrame, DataFrame]:
     # the best linked of a class and its neighbours leads it
     leads = written(best.select("a", F.when(F.col("x.deg") > F.col("deg"), F.col("x.b")).when((F.col("x.deg") == F.col("deg")) & (F.col("x.b") > F.col("a")), F.col("x.b")).otherwise(F.col("a")).alias("lead")), "jaccard-leads")
 
-    def differ(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in it:
-            out = []
-            for a, b, ta, tb in zip(g["a"], g["b"], g["ta"], g["tb"]):
-                x, y = shingles(ta, p.shingle), shingles(tb, p.shingle)
-                d = np.setxor1d(x, y, assume_unique=True)
-                out.append((a, b, len(x), len(y), (len(d) + len(y) - len(x)) // 2, d.tobytes()))
-            yield pd.DataFrame(out, columns=["a", "lead", "n", "l", "miss", "d"])
-        _words.clear()
-        release_memory()
+    def differ(a: str, b: str, x: np.ndarray, y: np.ndarray):
+        d = np.setxor1d(x, y, assume_unique=True)
+        return a, b, len(x), len(y), (len(d) + len(y) - len(x)) // 2, d.tobytes()
 
-    groups = written(_with_texts(leads.select("a", F.col("lead").alias("b")), f.texts, p).mapInPandas(differ, "a string, lead string, n long, l long, miss long, d binary"), "jaccard-followers")
+    groups = written(_compared(leads.select("a", F.col("lead").alias("b")), f.texts, p, differ, "a string, lead string, n long, l long, miss long, d binary"), "jaccard-followers")
 
     def led(df: DataFrame, column: str) -> DataFrame:
         return df.join(leads.select(F.col("a").alias(column), F.col("lead").alias(f"{column}_lead")), column, "left").withColumn(f"{column}_lead", F.coalesce(f"{column}_lead", column))

@@ -36,6 +36,12 @@ def op2_secret_scans(spark: SparkSession, d: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, d, "documents")).drop("base_spans")
 
 
+def op2_secret_base(spark: SparkSession, d: str) -> DataFrame:
+    """The base part alone, which SQL can hold against."""
+    found = secrets.scan_secrets(table(spark, d, "documents"), model=secrets.train(params=secrets.SecretParams(examples=60, epochs=1)))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base_spans")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -59,7 +65,7 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return topk.top_k(table(spark, d, "embeddings"))
+    return topk.top_k(table(spark, d, "embeddings")).drop("scored", "candidates")
 
 
 def op7_html_extraction(spark: SparkSession, d: str) -> DataFrame:
@@ -87,19 +93,23 @@ def op10_mixing_targets(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixing_targets(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_source_mixing, op10_mixing_targets)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op2_secret_base, op3_benchmark_decontamination, op4_chat_formatting, op5_toxicity, op6_exact_top_k, op7_html_extraction, op8_warc, op9_ngram_jaccard_join, op9_ngram_jaccard_links, op10_source_mixing, op10_mixing_targets)}
 
 #: A-Z in lower case, and the pattern of decontamination's words, for SQL.
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The base rule of assignments for SQL, whose letters take either case.
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLE_SQL = {
     "op6_exact_top_k": """
-        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-                   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-              FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WITH e AS (SELECT row_number() OVER () AS tag, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.tag, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM e q JOIN e c ON q.tag <> c.tag WHERE q.vec_id % 50 = 0 AND len(q.v) = len(c.v)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op1_url_filters": r"""
         WITH u AS (
@@ -119,6 +129,17 @@ ORACLE_SQL = {
             FROM u)
         SELECT u.page_id, host, path, rule, "glob", CASE WHEN rule IS NOT NULL THEN best.verdict WHEN "glob" IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
         FROM u JOIN g USING (page_id) LEFT JOIN best USING (page_id)""",
+    "op2_secret_base": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        k(kind, name, pattern, least) AS (VALUES (0, 'assign', '{_ASSIGN}', 6), (1, 'access', 'AKIA[A-Z0-9]+', 20), (2, 'hex', '[0-9a-f]+', 24)),
+        m AS (SELECT doc_id, kind, name, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS found,
+                     CASE kind WHEN 0 THEN regexp_extract_all(t, '{_ASSIGN}', 2) ELSE regexp_extract_all(t, pattern) END AS counts FROM d CROSS JOIN k),
+        e AS (SELECT doc_id, kind, name, least, unnest(range(1, len(found) + 1)) AS i, unnest(gaps[:len(found)]) AS gap, unnest(found) AS hit, unnest(counts) AS part FROM m WHERE len(found) > 0),
+        p AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM e),
+        s AS (SELECT doc_id, kind, name, stop - length(hit) AS start, stop FROM p WHERE length(part) >= least),
+        a AS (SELECT doc_id, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2 FROM s GROUP BY doc_id)
+        SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, coalesce(spans, '') AS base_spans, sha256(coalesce(spans, '')) AS base_sha256
+        FROM d LEFT JOIN a USING (doc_id)""",
     "op3_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORDS}') AS w FROM documents),
         b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_FOLDED}, '{_WORDS}') AS w FROM benchmark),

@@ -8,6 +8,7 @@ import heapq
 import html
 import random
 import re
+import string
 import time
 import zlib
 
@@ -68,20 +69,53 @@ def test_base_spans():
         assert secrets.base_spans(t) == plain(t)
 
 
+def test_candidates_cover_runs_beside_base_spans():
+    r = random.Random(23)
+    for _ in range(300):
+        t = "".join(r.choice(["token=", "abcdef", " ", "AKIA" + "Z" * 16, "a1b2" * 6, "/", "F00D" * 3, "Q" * 15, ".", "é"]) for _ in range(20))
+        base = secrets.base_spans(t)
+        free = "".join("." if any(s <= k < e for s, _, e in base) else c for k, c in enumerate(t))
+        assert secrets.candidates(t, base) == [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", free)]
+    t = "token=abcdefgh " * 100_000
+    start = time.process_time()
+    assert len(secrets.base_spans(t)) == 100_000 and secrets.candidates(t, secrets.base_spans(t)) == []
+    assert time.process_time() - start < 5
+
+
 def test_network_adds_and_keeps(spark):
-    model = secrets.train()
-    found = secrets.labelled_findings(800, 77)
-    kept = [bool(model.keep(t, [(s, e)])) for t, s, e, _ in found]
-    recall = np.mean([k for k, f in zip(kept, found) if f[3]])
-    precision = np.mean([f[3] for k, f in zip(kept, found) if k])
-    assert recall > 0.94 and precision > 0.9
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = secrets.train(table)
+    assert model.tested[0] > 0.95 and model.tested[1] > 0.9
+    # kinds that no base rule meets and no written finding is of, through the whole scan
+    r = random.Random(77)
+    draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    alnum = string.ascii_letters + string.digits
+    planted = [
+        lambda: "eyJ" + draw(alnum, 33) + "." + draw(alnum + "_-", 60), lambda: "SG." + draw(alnum, 22) + "." + draw(alnum, 43), lambda: "xoxp-" + "-".join(draw(string.digits, 12) for _ in range(2)) + "-" + draw(alnum, 24),
+        lambda: "ssh-rsa AAAA" + draw(alnum + "+/", 120), lambda: "https://user:" + draw(alnum, 28) + "@example.com/x", lambda: draw(string.ascii_letters, 32), lambda: "AKIA" + draw(string.ascii_uppercase, 16) + "/" + draw(alnum + "+/", 40),
+    ]
+    prose = ["The notes of the meeting mention", "le jour de la fête il a écrit", "der Vertrag wurde gestern unterschrieben", "para el proyecto usamos"]
+    caught = 0
+    for k in range(140):
+        body, before = planted[k % 7](), r.choice(prose) + " "
+        found = [x for x in model.spans(before + body + " and more of it") if x[1] == 3]
+        caught += any(s < len(before) + len(body) and len(before) < e for s, _, e, _ in found)
+    assert caught >= 126
+    plain = ["the internationalization of counterrevolutionaries", "see https://example.com/articles/2021/internationalization-of-everything", "Donaudampfschifffahrtsgesellschaft und Rechtsschutzversicherungsgesellschaften", "-" * 40, "call 4111111111111111 now", "2021-01-02T10-20-30Z"]
+    assert sum(bool(model.spans(t)) for t in plain) <= 1
+    rows = table.where("text is not null").collect()
+    runs = [(t.text, x) for t in rows for x in secrets.candidates(t.text, secrets.base_spans(t.text)) if t.text[slice(*x)].isalpha()]
+    assert len(runs) > 10 and np.mean([model.scores(t, [x])[0] >= model.threshold for t, x in runs]) < 0.05
+
     text = "auth: Bearer 9fK2xQ7pLmZ8vRt4WcYb31Gd and token=abcdef1"
-    df = docs(spark, [text, None, "", text]).withColumn("spans", F.lit("x"))
+    df = docs(spark, [text, None, "", text]).withColumn("spans", F.lit("x")).withColumn("scores", F.lit("x"))
     rows = secrets.scan_secrets(df).orderBy("doc_id").collect()
     assert [r.n_assign for r in rows] == [1, 0, 0, 1] and rows[0].n_model == 1 and "assign:42:55" in rows[0].spans
+    assert [len(r.scores.split(",")) for r in rows] == [2, 1, 1, 2] and rows[1].scores == ""
     assert rows[0].base_sha256 == hashlib.sha256(b"assign:42:55").hexdigest() and rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
     assert clean[:3] == ["auth: Bearer [SECRET] and [SECRET]", None, ""]
+    assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
 # -- 3 -------------------------------------------------------------------------
@@ -247,18 +281,37 @@ def test_long_texts_are_scored_whole():
 def test_threshold_search_against_brute_force(spark):
     r = random.Random(9)
     rows = [(k, [r.choice([-0.5, 0.1, 0.25, 1.0]) for _ in range(4)]) for k in range(120)] + [(200, None), (201, [None, 1.0, 1.0, 1.0]), (202, [float("nan")] * 4), (203, []), (250, []), (204, [1.0, 2.0]), (None, [1.0] * 4)] + [(k, [1.0] * 4) for k in range(300, 340)]
-    rows += rows[:5]
+    rows += rows[:5] + [(10, [0.25] * 4), (300, [1e15, -1e15, 1e15, 1.0]), (310, [1e15, 1e15, -1e15, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = {}
-    for x in topk.top_k(df, topk.TopKParams(every=10, block=16, queries=8, depth=2)).collect():
+    for x in topk.top_k(df, topk.TopKParams(every=10, block=16, queries=8, depth=2, chunk=3)).collect():
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-    v = {k: [int(np.floor(256 * float(np.float32(x)))) for x in e] for k, e in rows if k is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
-    for q in [k for k in v if k % 10 == 0]:
-        best = sorted((-int(np.dot(v[q], v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))[:5]
-        assert sorted(got.get(q, [])) == [(i, c, -s) for i, (s, c) in enumerate(best, 1)]
+    v = [(k, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for k, e in rows if k is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    want = {}
+    for i, (k, q) in enumerate(v):
+        if k % 10 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, c)), j) for m, (j, c) in enumerate(v) if m != i and len(c) == len(q))[:5]
+            want.setdefault(k, []).extend((rank, j, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, j) in enumerate(best, 1))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, x in want.items() if x}
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_search_reads_little_of_clustered_vectors(spark):
+    r = np.random.default_rng(31)
+    centres = r.normal(size=(40, 32))
+    X = np.repeat(centres, 100, 0) + r.normal(size=(4000, 32)) * 0.1
+    X = (X / np.linalg.norm(X, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(X)], "vec_id long, embedding array<float>")
+    found = topk.top_k(df, topk.TopKParams(block=128)).collect()
+    V = np.floor(256 * X.astype(float)).astype(int)
+    for q in range(0, 4000, 50):
+        s = V @ V[q]
+        s[q] = -(10**9)
+        best = sorted(range(4000), key=lambda c: (-s[c], c))[:5]
+        assert sorted((x.rank, x.vec_id, x.score) for x in found if x.query_id == q) == [(k, c, s[c]) for k, c in enumerate(best, 1)]
+    assert np.mean([x.scored / x.candidates for x in found]) < 0.35 and {x.candidates for x in found} == {4000}
+
+
 # -- 7 -------------------------------------------------------------------------
 def test_extraction_rules():
     page = """<!DOCTYPE html><html><head><title>x</title></head><body><header>Head</header><nav>m</nav><div class="sidebar-left">s</div><div id=cookieNotice>c</div>
@@ -404,7 +457,7 @@ def near_copies(n, seed):
         yield i, r.choice([None, ""]) if r.random() < 0.03 else t.upper() if r.random() < 0.1 else t
 
 
-@pytest.mark.parametrize("params", [jaccard_join.JaccardParams(short=2, batch=2000), jaccard_join.JaccardParams(short=3, broadcast_ids=0)])
+@pytest.mark.parametrize("params", [jaccard_join.JaccardParams(short=2, batch=2000, block=7), jaccard_join.JaccardParams(short=3, broadcast_ids=0)])
 def test_jaccard_against_brute_force(spark, params):
     rows = list(near_copies(260, params.short))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_shingles", F.lit("x")).repartition(3)
@@ -427,6 +480,36 @@ def test_jaccard_links_against_brute_force(spark, params):
     assert jaccard_join.link_counts(df.limit(0), params).count() == 0
 
 
+def test_list_pairs_against_all_pairs():
+    r = np.random.default_rng(19)
+    for short in (2, 6):
+        p = jaccard_join.JaccardParams(short=short)
+        for _ in range(30):
+            k = int(r.integers(1, 200))
+            e = np.zeros(k, jaccard_join._ENTRY)
+            token = np.sort(r.integers(0, 4, k))
+            e["n"], e["s1"] = r.integers(1, 60, k), np.arange(k)
+            e["at"] = r.integers(0, 12, k) % e["n"]
+            e = e[np.lexsort((e["n"], e["at"], token))]
+            a, b = np.triu_indices(k, 1)
+            rank = np.arange(k) - np.searchsorted(token, token)
+            size = np.bincount(token, minlength=4)[token]
+            want = (token[a] == token[b]) & ((size[a] <= short) | (rank[a] < p.leaders)) & jaccard_join._fit(e, a, b, p.percent)
+            pairs, long = jaccard_join.list_pairs(e, token, p)
+            assert sorted(map(tuple, pairs.T)) == sorted(zip(a[want], b[want])) and list(long) == list(np.flatnonzero(size > short))
+
+
+def test_one_row_of_each_component_stays(spark):
+    t = "one two three four five six seven"
+    rows = [(7, t, "x"), (3, t, "y"), (3, t, "x"), (None, t, "x"), (8, "", "x"), (8, "", "x"), (9, None, "x"), (None, " ", "x"), (None, "lone words", "x"), (None, "lone words", "x"), (12, "ONE two", "x"), (11, "one two", "z"), (3, "one two", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string").repartition(3)
+    got = [tuple(r) for r in jaccard_join.representatives(df).collect()]
+    rest = [x for x in got if x[1] and x[1].strip()]
+    assert sorted((i or 0, t) for i, t, _ in rest) == [(0, "lone words"), (3, "one two"), (3, t)] and len(got) == 7
+    assert sorted(map(tuple, jaccard_join.representatives(df.repartition(5)).collect()), key=str) == sorted(got, key=str)
+    assert jaccard_join.representatives(df.limit(0)).count() == 0
+
+
 def test_jaccard_edges_of_input(spark):
     t = "one two three four five six seven"
     rows = [(7, t), (3, t), (3, t), (None, t), (8, ""), (9, None), (10, " \n"), (11, "one two"), (12, "ONE two"), (13, "two one")]
