@@ -3,7 +3,8 @@ mixing operators in turn, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet to
 the shared folder and reread as the next one's docs. Null texts pass every
-filter as empty ones; documents of the same id are judged row by row.
+filter as empty ones; documents of the same id are judged row by row, and of
+repeated rows with words one stays.
 """
 
 from __future__ import annotations
@@ -13,23 +14,25 @@ from pyspark.sql import functions as F
 
 from tallyhap.llm import common, decontaminate, jaccard_join, mixing, secrets, toxicity
 
-#: The classifier and the mix are no SQL; tests hold run() against brute force.
+#: The classifier and the mix are no SQL; tests/llm/test_pipeline.py holds run()
+#: against the stages' brute-force versions, one after the other.
 ORACLE_SQL = None
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold stay. The classifier learns from
-    all labelled documents' bounded sample but the held-out quarter."""
+    """Documents scored below the calibrated threshold of their language stay.
+    The classifier learns from a bounded sample of the labelled documents but
+    the held-out quarter."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = common.temp_column(docs, "score")
-    return toxicity.with_toxicity(docs, model, score).where(F.col(score) < model.params.threshold).select(*docs.columns)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return toxicity.with_toxicity(docs, model, score).where(F.col(score) < toxicity.lang_threshold(model, lang)).select(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays."""
-    found = jaccard_join.similar_components(docs)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents one row stays, that of the smallest id;
+    documents without words are linked with none."""
+    return jaccard_join.representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the words that the mix takes of it."""
-    return mixing.mix_sources(docs)
+    """Each document, text and all, with what the mix takes of it."""
+    return mixing.mixed_rows(docs)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
