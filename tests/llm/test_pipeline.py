@@ -6,36 +6,65 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from test_operators import brute_components, brute_contamination
 
-from tallyhap.llm import secrets
+from tallyhap.llm import decontaminate, mixing, secrets, toxicity
 
 
-def test_stages_by_brute_force(spark):
+def test_run_by_brute_force(spark):
+    """run()'s rows from plain steps over Python lists; only the fitted models
+    are the operators' own."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns = docs.columns
-    kept = cp.toxicity_stage(spark, docs, DATA)
-    assert kept.columns == columns and 0 < kept.count() <= docs.count()
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in cp.run(spark, DATA).collect()}
 
-    rows = {r.doc_id: r.text for r in kept.collect()}
-    want = {i for i, (_, c) in brute_components(list(rows.items())).items() if i == c}
-    one = cp.jaccard_stage(spark, kept, DATA)
-    assert {r.doc_id for r in one.select("doc_id").collect()} == want and one.columns == columns
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    scores = dict(zip(rows, model.scores([r.text for r in rows.values()])))
+    texts = {i: r.text for i, r in rows.items() if scores[i] < model.thresholds.get(r.lang, model.params.threshold)}
+    assert 0 < len(texts) < len(rows)
+    texts = {i: texts[i] for i, (_, c) in brute_components(list(texts.items())).items() if i == c}
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    clean = cp.decontamination_stage(spark, one, DATA)
-    texts = {r.doc_id: r.text for r in one.collect()}
     found = dict(zip(texts, brute_contamination(texts.values(), items)))
-    after = {r.doc_id: r for r in clean.collect()}
-    assert set(after) == {i for i, (_, _, x) in found.items() if len(x) < 2}
-    assert all(after[i].text == texts[i] for i in after if not found[i][1])
-    assert not any(h for _, h, _ in brute_contamination([after[i].text for i in after if found[i][1]], items))
+    clean = {}
+    for i, t in texts.items():
+        if len(found[i][2]) < 2:
+            hit = sorted(brute_hits(t, items))
+            words = [m.span() for m in decontaminate._WORD.finditer(t or "")]
+            spans = [(a, b) for a, b in decontaminate.runs(decontaminate.np.array(hit, int))]
+            for a, b in reversed(spans):
+                t = t[: words[a][0]] + t[words[b - 1][1] :]
+            clean[i] = t
 
-    safe = cp.secret_stage(spark, clean, DATA)
-    assert safe.columns == columns and safe.count() == len(after)
-    assert not any(secrets.base_spans(r.text) for r in safe.collect())
-    assert safe.where(F.col("n_chars") != F.length("text")).count() == 0
+    frame = spark.createDataFrame(list(clean.items()), "doc_id long, text string")
+    spy = secrets.train(frame)
+    safe = {}
+    for i, t in clean.items():
+        for s, e in reversed(secrets.merged(spy.spans(t))) if t is not None else ():
+            t = t[:s] + "[SECRET]" + t[e:]
+        safe[i] = t
+    assert {i: r.text for i, r in got.items()} == safe
+    assert not any(secrets.base_spans(t) for t in safe.values() if t)
 
-    mix = cp.mixing_stage(spark, safe, DATA)
-    assert mix.count() == len(after)
+    size = {i: len((t or "").split(" ")) and len((t or "").encode().split()) for i, t in safe.items()}
+    assert {i: r.size for i, r in got.items()} == size and all(0 <= r.taken <= 2 * r.size for r in got.values())
+    order = sorted({rows[i].source for i in safe if rows[i].source is not None}) + [None] * any(rows[i].source is None for i in safe)
+    totals = [sum(size[i] for i in safe if rows[i].source == s) for s in order]
+    want = mixing.targets(totals, [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(totals), 2)
+    for s, t in zip(order, want):
+        taken = sum(got[i].taken for i in safe if rows[i].source == s)
+        assert abs(taken - t) <= 8 + 0.02 * t
+
+
+def brute_hits(text, items, size=8):
+    windows = set()
+    for _, t in items:
+        w = decontaminate.words(t)
+        windows |= {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1) if w else 0)}
+    w, out = decontaminate.words(text), set()
+    for n in {len(x) for x in windows}:
+        for k in range(len(w) - n + 1):
+            if tuple(w[k : k + n]) in windows:
+                out.update(range(k, k + n))
+    return out
 
 
 def test_stages_bear_odd_rows(spark):
@@ -44,3 +73,12 @@ def test_stages_bear_odd_rows(spark):
         out = stage(spark, docs, DATA)
         assert out.count() == 4, name
         assert stage(spark, docs.limit(0), DATA).count() == 0
+        if name != cp.STAGES[-1][0]:
+            assert out.columns == docs.columns
+
+
+def test_of_repeated_and_unnamed_copies_one_stays(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(None, text, "en", "a", 9), (None, text, "en", "a", 9), (4, text.upper(), "en", "b", 9), (4, text.upper(), "en", "b", 9), (5, text + " more", "en", "b", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in cp.jaccard_stage(spark, docs, DATA).collect()] == [4]
+    assert cp.jaccard_stage(spark, docs.where(F.col("doc_id").isNull()), DATA).count() == 1
