@@ -401,7 +401,7 @@ def _search(docs: DataFrame, p: JaccardParams, key: str, text: str) -> _Found:
     buckets = 4 * n_parts
     # of equal texts the one of the smallest id is read; ids of several texts and null ones are all read
     texts_of = named_ids.where("id is not null").groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("key2")).where("key = key2")
-    first = texts_of.groupBy("key").agg(F.min("id").alias("rep"))
+    first = written(texts_of.groupBy("key").agg(F.min("id").alias("rep")), "jaccard-first")  # apart, so that the join can split a hot text
     same = written(texts_of.join(first, "key").where("id <> rep").select("id"), "jaccard-same")
     small = same.count() <= p.broadcast_ids
     one = few.join(F.broadcast(same) if small else same, "id", "left_anti").select("key", "text")
