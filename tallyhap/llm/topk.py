@@ -260,4 +260,6 @@ def top_k(df: DataFrame, params: TopKParams = TopKParams(), key: str = "vec_id",
     directory, at = (x if "://" in x or x.startswith("file:") else f"file://{x}" for x in (fresh_dir(spark, "topk-blocks"), fresh_dir(spark, "topk-index")))
     blocks.mapInPandas(_store(directory), "dim int, cell int, file string, offset long, length long, n long, least long, low array<bigint>, high array<bigint>").write.parquet(at)
     queries = both.where(query).select("id", "v", "tag", "dim", "cell", deal(F.col("groups")))
+    # dealt by number, as these small rows stand for much work and must not be coalesced
+    queries = queries.repartition(partitions(spark), "dim", "cell", "part")
     return queries.groupBy("dim", "cell", "part").applyInPandas(_search(directory, at, p), "query_id long, rank int, vec_id long, score long, scored long, candidates long")
