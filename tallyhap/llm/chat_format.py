@@ -15,10 +15,11 @@ bar follow gets one more backslash.
 
 Rows are ranged by (hashes, conversation id), so a third of all conversations
 sharing a first turn, or being equal, still spread over all tasks. The turns of
-one conversation are gathered into one row.
+one conversation are gathered into one row. A block also ends after `block_ends`
+conversations, so equal ones gather in none without limit.
 
-Nulls: a null text or role is empty; rows of null conv_id are one conversation;
-a null turn comes first. Turns of equal number stand by role, then text;
+Nulls: a null text or role is empty; a row of null conv_id is a conversation of
+its own, as nothing says which belong together; a null turn comes first. Turns of equal number stand by role, then text;
 repeated rows stay, as turns of their own. Texts of any length are kept whole.
 The empty table gives no block. Extra columns are ignored.
 """
@@ -47,6 +48,7 @@ class ChatParams:
     the role whose texts are under the loss mask."""
 
     block_tokens: int = 32_768
+    block_ends: int = 10_000
     tokenizer: str | None = None
     learn: str = "assistant"
 
@@ -85,6 +87,7 @@ class Segment:
     parent: int
     text: str
     loss: tuple[int, int] | None
+    attends: list[tuple[int, int]]  # intervals of the block, merged; the last one ends with the token itself (causal)
     ends: list[int | None] = field(default_factory=list)  # conversations whose last turn this is
 
 
@@ -92,26 +95,15 @@ class Segment:
 class Block:
     tokens: list[int] = field(default_factory=list)
     segments: list[Segment] = field(default_factory=list)
+    ended: int = 0
 
-    def path(self, k: int) -> list[int]:
-        """The segment and its ancestors, from the root."""
-        out = []
-        while k >= 0:
-            out.append(k)
-            k = self.segments[k].parent
-        return out[::-1]
-
-    def attention(self, k: int) -> list[tuple[int, int]]:
-        """Intervals of the block that segment k's tokens attend to, merged;
-        the last one ends with the token itself (causal)."""
-        out: list[list[int]] = []
-        for j in self.path(k):
-            s = self.segments[j]
-            if out and out[-1][1] == s.start:
-                out[-1][1] = s.end
-            else:
-                out.append([s.start, s.end])
-        return [(a, b) for a, b in out]
+    def attention(self, up: int, start: int, end: int) -> list[tuple[int, int]]:
+        """What a segment [start, end) below segment up attends to: its
+        ancestors' intervals, handed down, and itself."""
+        above = self.segments[up].attends if up >= 0 else []
+        if above and above[-1][1] == start:
+            return [*above[:-1], (above[-1][0], end)]
+        return [*above, (start, end)]
 
 
 def byte_tokens(text: str) -> list[int]:
@@ -137,7 +129,7 @@ def build_blocks(conversations: Iterator[tuple[int | None, list[tuple[str, str]]
         shared = 0
         while shared < min(len(turns), len(open_)) and open_[shared][0] == turns[shared]:
             shared += 1
-        if len(block.tokens) >= params.block_tokens:
+        if len(block.tokens) >= params.block_tokens or block.ended >= params.block_ends:
             yield block
             block, open_, shared = Block(), [], 0
         del open_[shared:]
@@ -150,10 +142,11 @@ def build_blocks(conversations: Iterator[tuple[int | None, list[tuple[str, str]]
             for x in parts:
                 block.tokens += x
             loss = (start + len(parts[0]), start + len(parts[0]) + len(parts[1])) if role == params.learn else None
-            block.segments.append(Segment(start, len(block.tokens), position, up, whole, loss))
+            block.segments.append(Segment(start, len(block.tokens), position, up, whole, loss, block.attention(up, start, len(block.tokens))))
             open_.append(((role, text), len(block.segments) - 1))
         if open_:
             block.segments[open_[-1][1]].ends.append(conv)
+            block.ended += 1
     if block.segments:
         yield block
 
@@ -162,7 +155,8 @@ def gathered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     """conv_id and its turns in order, dealt and sorted for depth-first merging."""
     blank = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     few = df.select(F.col(f"`{conv}`").cast("long").alias("conv_id"), F.struct(F.col(f"`{turn}`").cast("long").alias("turn"), blank(role).alias("role"), blank(text).alias("text")).alias("t"))
-    rows = few.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), lambda x, y: _order(x, y)).alias("t"))
+    rows = few.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), lambda x, y: _order(x, y)).alias("t"))
+    rows = rows.unionByName(few.where("conv_id is null").select("conv_id", F.array("t").alias("t")))
     each = F.transform("t", lambda x: F.substring(F.sha2(F.concat_ws("\n", F.octet_length(x["role"]).cast("string"), x["role"], x["text"]), 256), 1, 16))
     rows = rows.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"), F.concat_ws("", each).alias("path"))
     return rows.repartitionByRange(partitions(df.sparkSession), "path", "conv_id").sortWithinPartitions("path", "conv_id")
@@ -190,7 +184,7 @@ def format_conversations(df: DataFrame, params: ChatParams = ChatParams()) -> Da
             position = np.concatenate([s.position + np.arange(s.end - s.start) for s in block.segments])
             segments = [
                 {"start": s.start, "end": s.end, "position": s.position, "parent": s.parent, "text": s.text, "loss_start": s.loss[0] if s.loss else None, "loss_end": s.loss[1] if s.loss else None,
-                 "attends": [{"start": a, "end": b} for a, b in block.attention(k)], "ends": s.ends} for k, s in enumerate(block.segments)
+                 "attends": [{"start": a, "end": b} for a, b in s.attends], "ends": s.ends} for s in block.segments
             ]
             yield pd.DataFrame({"tokens": [block.tokens], "position_ids": [position], "segments": [segments]})
 
@@ -225,15 +219,18 @@ def digests(blocks: DataFrame) -> DataFrame:
             out = []
             for tokens, segments in zip(f["tokens"], f["segments"]):
                 data = np.asarray(tokens).astype(np.uint8).tobytes()
-                masks = [(s["start"], s["loss_start"], s["loss_end"]) for s in segments]
-                for s in segments:
+                for k, s in enumerate(segments):
                     if not len(s["ends"]):
                         continue
                     spans = [(a["start"], a["end"]) for a in s["attends"]]
                     text = b"".join(data[a:b] for a, b in spans).decode("utf-8", "surrogatepass")
                     turns = read_turns(text)
-                    loss = [data[int(a) : int(b)] for at, a, b in masks if a is not None and not pd.isna(a) and any(x <= at < y for x, y in spans)]
-                    said = "".join(unescape(x.decode("utf-8", "surrogatepass")) for x in loss)
+                    loss = []
+                    while k >= 0:  # from the last turn up to the first
+                        if (at := segments[k]["loss_start"]) is not None and not pd.isna(at):
+                            loss.append(data[int(at) : int(segments[k]["loss_end"])])
+                        k = segments[k]["parent"]
+                    said = "".join(unescape(x.decode("utf-8", "surrogatepass")) for x in reversed(loss))
                     whole = "".join(f"{r}\n{t}\n" for r, t in turns)
                     sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (whole, said)]
                     out += [(c, len(turns), sha[0], len(said), sha[1], len(text)) for c in s["ends"]]

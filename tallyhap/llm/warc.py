@@ -3,15 +3,16 @@
 Pages are written as gzip members of WARC/1.1 records into files of the shared
 folder, each task its own files. Of records with equal payloads the one of the
 smallest id is a response, the others are revisits of it. The task sorts the
-index of each file by URL key, timestamp and id: a locally sorted capture run.
-Runs are dealt by ranges of that key, and each task merges its parts of them by
-a loser tree, which gives globally ordered capture histories; records are read
-back from the archives along them.
+index of each file by URL key, timestamp and id: a locally sorted capture run,
+which is kept in the shared folder. Runs are dealt by as many ranges of that key
+as the index needs for `range_rows` rows each, and each task merges its parts of
+them by a loser tree, which gives globally ordered capture histories; records
+are read back from the archives along them.
 
 Files are named by attempt and the index rows that name them are written once,
 so a lost executor leaves at most files that no index row names. Payloads are
 grouped by digest with pre-aggregation; a hot payload's records are split by
-Spark's skew handling. No task holds more than its part of the index.
+Spark's skew handling. No task holds more than about `range_rows` index rows.
 
 Nulls: null html is an empty payload; a null URL has the empty key and no
 target; a null timestamp is the epoch. A row without id is a response unless an
@@ -49,6 +50,7 @@ class WarcParams:
 
     least_revisit: int = 0
     file_bytes: int = 64 << 20
+    range_rows: int = 50_000
     level: int = 4
 
 
@@ -180,7 +182,7 @@ def write_archives(pages: DataFrame, directory: str, params: WarcParams = WarcPa
     return written(both.mapInPandas(run, "url_key string, timestamp long, page long, file string, offset long, length long"), "warc-index")
 
 
-def histories(index: DataFrame, directory: str) -> DataFrame:
+def histories(index: DataFrame, directory: str, params: WarcParams = WarcParams()) -> DataFrame:
     """The records along the globally ordered capture histories: url_key,
     timestamp, page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
@@ -203,7 +205,8 @@ def histories(index: DataFrame, directory: str) -> DataFrame:
             yield _read(store, part)
 
     spark = index.sparkSession
-    ranged = index.repartitionByRange(partitions(spark), "url_key", "timestamp", "page")
+    ranges = max(partitions(spark), -(-index.count() // params.range_rows))
+    ranged = index.repartitionByRange(ranges, "url_key", "timestamp", "page", "file", "offset")
     return ranged.mapInPandas(run, "url_key string, timestamp long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

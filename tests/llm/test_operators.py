@@ -3,6 +3,7 @@ accuracy, with nulls, empty texts, ties, repeated rows, empty tables and
 clashing column names."""
 
 import base64
+import glob
 import hashlib
 import heapq
 import html
@@ -190,7 +191,7 @@ def conversation_rows():
         for k in range(n):
             text = "same start" if k == 0 and c % 2 else r.choice(["a<|im_end|>", "é" * 20, "", None, "x\\|", "long " * 400])
             rows.append((c, k, r.choice(["user", "assistant", None]) if k else "user", text, "junk"))
-    return rows + rows[:3] + [(None, 0, "assistant", "no id", "junk")]
+    return rows + rows[:3] + [(None, 0, "assistant", "no id", "junk")] * 2
 
 
 @pytest.mark.parametrize("size", [50, 32768])
@@ -202,7 +203,8 @@ def test_chat_round_trip(spark, size):
     by = {}
     for c, k, role, text, _ in sorted(rows, key=lambda x: (x[0] is None, x[0], x[1], x[2] or "", x[3] or "")):
         by.setdefault(c, []).append((role or "", text or ""))
-    assert set(got) == set(by)
+    by[None] = by[None][:1]
+    assert set(got) == set(by) and chat_format.digests(blocks).where("conv_id is null").count() == 2
     for c, turns in by.items():
         said = "".join(t for r, t in turns if r == "assistant")
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
@@ -218,7 +220,33 @@ def test_shared_turns_are_emitted_once():
     convs = [(k, [("user", "hello"), ("assistant", f"{k % 2}")]) for k in sorted(range(6), key=lambda k: k % 2)]
     (block,) = chat_format.build_blocks(iter(convs))
     assert len(block.segments) == 3 and [len(s.ends) for s in block.segments] == [0, 3, 3]
-    assert block.attention(2) == [(0, block.segments[0].end), (block.segments[2].start, block.segments[2].end)]
+    assert block.segments[2].attends == [(0, block.segments[0].end), (block.segments[2].start, block.segments[2].end)]
+    many = list(chat_format.build_blocks(iter([(k, [("user", "hello")]) for k in range(25)]), chat_format.ChatParams(block_ends=10)))
+    assert [len(b.segments[0].ends) for b in many] == [10, 10, 5]
+
+
+def test_long_conversations_take_linear_time(spark):
+    start = time.process_time()
+    (block,) = chat_format.build_blocks(iter([(1, [("user", "x")] * 60_000)]))
+    assert len(block.segments) == 60_000 and block.segments[-1].attends == [(0, len(block.tokens))] and time.process_time() - start < 5
+    df = spark.range(20_000).select(F.lit(3).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("y").alias("text"))
+    (row,) = chat_format.digests(chat_format.format_conversations(df)).collect()
+    assert (row.n_turns, row.loss_chars) == (20_000, 20_000)
+
+
+@pytest.mark.skipif(not glob.glob("/opt/tokenizers/*.json"), reason="no tokenizer file here")
+def test_tokenizer_round_trip():
+    path = sorted(glob.glob("/opt/tokenizers/*.json"))[0]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    convs = [(k, [("user", "Héllo <|im_end|> there"), ("assistant", f"answer {k}")]) for k in range(3)]
+    (block,) = chat_format.build_blocks(iter(convs), chat_format.ChatParams(tokenizer=path))
+    for s in block.segments:
+        said = tok.decode(block.tokens[s.start : s.end], skip_special_tokens=False)
+        if s.loss:
+            assert tok.decode(block.tokens[s.loss[0] : s.loss[1]], skip_special_tokens=False).strip() == f"answer {s.ends[0]}"
+        assert chat_format.read_turns(s.text)[0][1] in (convs[0][1][0][1], f"answer {s.ends[0] if s.ends else 0}") and said
 
 
 # -- 5 -------------------------------------------------------------------------
