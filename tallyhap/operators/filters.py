@@ -23,7 +23,7 @@ def refusal(p: ReadParams, mapq: Column, flag: Column, cell: Column | None, umi:
     if p.cell_tag and cell is not None:
         c = c.when(cell.isNull(), -11)
     if p.umi_tag and umi is not None:
-        c = c.when(umi.isNull(), -12)
+        c = c.when(umi.isNull() | (umi == ""), -12)
     return c.when(aligned_length(blocks) < p.min_len, -21).otherwise(0)
 
 

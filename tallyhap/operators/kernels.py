@@ -68,6 +68,8 @@ def expectation_maximisation(ad: np.ndarray, dp: np.ndarray, p: PhaseParams, pos
     bd, depth = dp - ad, dp.sum(1)
     if start is not None:
         z0 = start[:, 0]
+    elif p.init == "current":  # as if nothing were flipped
+        z0 = np.ones(len(ad))
     elif p.init == "random":
         z0 = (rng or np.random.default_rng(p.seed)).random(len(ad))
     else:
@@ -163,5 +165,6 @@ def best_correction(ad: np.ndarray, dp: np.ndarray, hap: np.ndarray, p: Correcti
     rng, most = np.random.default_rng([p.seed, seed]), max(1, 500_000 // sum(ad.shape))
     parts = [min(most, p.starts - k) for k in range(0, p.starts, most)]
     # the generator deals a start's cells together, so parts of any size give the same starts
-    found = (correct_phase(ad, dp, hap, p, normalise(rng.random((k, ad.shape[1], 2)), 2).transpose(1, 2, 0)) for k in parts)
+    first = (rng.random((k, ad.shape[1])).T for k in parts)
+    found = (correct_phase(ad, dp, hap, p, np.stack([x, 1 - x], 1)) for x in first)
     return max(found, key=lambda r: r["log_lik"])

@@ -86,11 +86,16 @@ def region_flip_stats(flips: DataFrame) -> DataFrame:
 
 
 def smooth_positions(values: DataFrame, width: float) -> DataFrame:
-    """values (grp, pos, v) -> grp, pos, smooth: Gaussian kernel means, as a join
-    of each group with itself."""
-    other = values.select("grp", F.col("pos").alias("x"), F.col("v").alias("u"))
+    """values (grp, pos, v) -> grp, pos, smooth: Gaussian kernel means. A point
+    meets those within 6 widths, behind which weights are below a double's
+    precision beside its own weight of 1; pairs are found by bins of that reach."""
+    reach = max(1.0, 6 * width)
+    bin_of = F.floor(F.col("pos") / reach)
+    here = values.select("grp", "pos", bin_of.alias("bin"))
+    near = values.select(F.col("grp").alias("g"), F.col("pos").alias("x"), F.col("v").alias("u"), F.explode(F.sequence(bin_of - 1, bin_of + 1)).alias("b"))
     w = F.exp(-F.pow((F.col("x") - F.col("pos")) / width, F.lit(2)))
-    return values.join(other, "grp").groupBy("grp", "pos").agg((F.sum(F.col("u") * w) / F.sum(w)).alias("smooth"))
+    both = here.join(near, (F.col("grp") == F.col("g")) & (F.col("bin") == F.col("b")) & (F.abs(F.col("x") - F.col("pos")) <= reach))
+    return both.groupBy("grp", "pos").agg((F.sum(F.col("u") * w) / F.sum(w)).alias("smooth"))
 
 
 def theta_step(phase: DataFrame, z: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ class AlleleParams(ReadParams):
 
 @dataclass(frozen=True)
 class PhaseParams:
-    """Eligibility of regions for local phasing, and the kernel's settings."""
+    """Eligibility of regions for local phasing, and the kernel's settings.
+    init: warm (by the SNPs' own allele shares), current (no flips) or random."""
 
     min_len: int = 50_000
     min_snps: int = 2
@@ -91,6 +92,10 @@ class PhaseParams:
     hmm_diagonal: float = 0.99
     seed: int = 0
 
+    def __post_init__(self) -> None:
+        if self.init not in ("warm", "current", "random"):
+            raise ValueError("init must be warm, current or random")
+
 
 @dataclass(frozen=True)
 class CorrectionParams:

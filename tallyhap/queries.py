@@ -22,7 +22,8 @@ def query(sql: str | None = None, *ctes: str, prelude: bool = True):
     def put(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = (A.sql_prelude(*ctes) if prelude else "") + sql
+            with_ = A.sql_prelude(*ctes) if prelude else ""
+            ORACLE_SQL[f.__name__] = (with_.replace("WITH ", "WITH RECURSIVE ", 1) if any(" UNION ALL\n" in c for c in ctes) else with_) + sql
         return f
 
     return put
@@ -360,12 +361,6 @@ _bins("hg19")
 _bins("hg38")
 
 
-@query("SELECT region_idx, chrom, CAST(start AS BIGINT) AS start, CAST(end_excl AS BIGINT) AS end_excl FROM regions")
-def bed_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    bed = A.regions(spark, d).select("region_idx", "chrom", (F.col("start") - 1).alias("bed_start"), (F.col("end_excl") - 1).alias("bed_end"))
-    return bed.select("region_idx", "chrom", (F.col("bed_start") + 1).alias("start"), (F.col("bed_end") + 1).alias("end_excl"))
-
-
 @query("SELECT region_idx, name FROM regions WHERE name = 'G000040'")
 def region_set_query(spark: SparkSession, d: str) -> DataFrame:
     return regions.query_region(A.regions(spark, d), "G000040").select("region_idx", "name")
@@ -505,7 +500,15 @@ def rpc_flip(spark: SparkSession, d: str) -> DataFrame:
     return phasing.corrected_snps(phase)
 
 
-@query()
+#: Both passes as recursions over a region's SNPs, scaled at every step; staying has 0.99 of the probability.
+_STEPS = "hm AS (SELECT region_idx, snp_idx, CAST(row_number() OVER (PARTITION BY region_idx ORDER BY snp_idx) AS BIGINT) AS i, count(*) OVER (PARTITION BY region_idx) AS n, greatest(1e-6, least(1 - 1e-6, z0)) AS e FROM z)"
+_FORWARD = """fw(region_idx, i, f) AS (SELECT region_idx, i, e FROM hm WHERE i = 1 UNION ALL
+    SELECT region_idx, hm.i, e * (f * 0.99 + (1 - f) * 0.01) / (e * (f * 0.99 + (1 - f) * 0.01) + (1 - e) * (f * 0.01 + (1 - f) * 0.99)) FROM fw JOIN hm USING (region_idx) WHERE hm.i = fw.i + 1)"""
+_BACKWARD = """bw(region_idx, i, b) AS (SELECT region_idx, i, CAST(0.5 AS DOUBLE) FROM hm WHERE i = n UNION ALL
+    SELECT region_idx, p.i - 1, (p.e * b * 0.99 + (1 - p.e) * (1 - b) * 0.01) / (p.e * b + (1 - p.e) * (1 - b)) FROM bw JOIN hm p USING (region_idx) WHERE p.i = bw.i AND bw.i > 1)"""
+
+
+@query("SELECT region_idx, snp_idx, round(f * b / (f * b + (1 - f) * (1 - b)), 6) AS p0 FROM hm JOIN fw USING (region_idx, i) JOIN bw USING (region_idx, i)", *_PHASE_CTES, _PLACES, _STEPS, _FORWARD, _BACKWARD)
 def hmm_posterior(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
     import pandas as pd
@@ -515,6 +518,6 @@ def hmm_posterior(spark: SparkSession, d: str) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("snp_idx")
         z = np.clip(g["z0"].to_numpy(), 1e-6, 1 - 1e-6)
-        return pd.DataFrame({"region_idx": g["region_idx"], "snp_idx": g["snp_idx"], "p0": posterior(np.log(np.stack([z, 1 - z], 1)))[:, 0]})
+        return pd.DataFrame({"region_idx": g["region_idx"], "snp_idx": g["snp_idx"], "p0": np.round(posterior(np.log(np.stack([z, 1 - z], 1)))[:, 0], 6)})
 
     return _start(_phase(spark, d)).groupBy("region_idx").applyInPandas(run, "region_idx long, snp_idx long, p0 double")

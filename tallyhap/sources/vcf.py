@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chrom import chrom_key
 from ..functions.fields import format_field, hap_pair, phased_pair
+from ..operators.matrices import numbered
 from .mtx import read_mtx
 from .text import head_lines, lines
 
@@ -72,14 +73,23 @@ def read_sites(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], li
     return out, header, samples
 
 
-def read_pileup_dir(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_pileup_dir(spark: SparkSession, path: str, genotypes: bool = False) -> dict[str, DataFrame]:
     """features (row, CHROM, POS, ...), cells (col, cell) and counts (row, col,
-    ad, dp, oth) of a pileup directory; matrices stay sparse."""
+    ad, dp, oth) of a pileup directory; matrices stay sparse. With genotypes:
+    genotypes (row, col, and the entries that FORMAT names, as a map), where the
+    directory has them."""
     variants, _ = read_vcf(spark, f"{path}/cellSNP.base.vcf.gz")
-    rows = variants.select("line_no").rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex().map(lambda x: (x[0], x[1] + 1)).toDF("line_no long, row long")
     names = [r["value"] for r in lines(spark, f"{path}/cellSNP.samples.tsv").orderBy("line_no").collect()]
     cells = spark.createDataFrame(list(enumerate(names, 1)), "col long, cell string")
     parts = [read_mtx(spark, f"{path}/cellSNP.tag.{t.upper()}.mtx").select("row", "col", F.lit(t).alias("t"), "value") for t in ("ad", "dp", "oth")]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     counts = every.groupBy("row", "col").agg(*[F.coalesce(F.sum(F.when(F.col("t") == t, F.col("value"))), F.lit(0)).alias(t) for t in ("ad", "dp", "oth")])
-    return {"features": variants.join(rows, "line_no"), "cells": cells, "counts": counts}
+    out = {"features": numbered(variants, "line_no", "row"), "cells": cells, "counts": counts}
+    if genotypes:
+        called, header = read_vcf(spark, f"{path}/cellSNP.cells.vcf.gz")
+        names = next(h for h in header if h.startswith("#CHROM")).split("\t")[9:]
+        each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("col"), F.col(f"`{s}`").alias("v")) for k, s in enumerate(names, 1)])).alias("x")
+        long = numbered(called, "line_no", "row").select("row", "FORMAT", each)
+        entries = F.map_from_arrays(F.split("FORMAT", ":"), F.transform(F.split("FORMAT", ":"), lambda _, i: F.get(F.split("x.v", ":"), i)))
+        out["genotypes"] = long.select("row", "x.col", entries.alias("entries"))
+    return out
