@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,11 +34,29 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_steps: list[list[str]] = []
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at the end, but those to be kept."""
+    _steps.append([])
+    try:
+        yield
+    finally:
+        for path in _steps.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written once to the shared folder and reread, so that a lost executor
-    does not make Spark run its lineage again (and Python state differ)."""
+    does not make Spark run its lineage again (and Python state differ). keep:
+    beyond the `steps` that it is written in."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
+    if _steps and not keep:
+        _steps[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,8 +6,10 @@ short for any window drop out before the shard is indexed; that loses nothing.
 All windows are searched backward through wavelet-tree ranks at once,
 occurrences are located by sampled suffix positions, and their spans merge.
 
-No shuffle. The benchmark reaches the tasks in blocks of bounded size, one
-broadcast each; a task holds one block at a time, so its size is not limited.
+Documents are not shuffled. The benchmark's windows are packed by tasks into
+blocks of about `block_chars` characters in the shared folder; a task holds one
+block at a time, so the benchmark's size is not limited. An index lives as long
+as its shard is in work; with several blocks it is made anew for each.
 
 Nulls: a null text has no words; an item without words has no window and never
 occurs; a null item_id is the empty id. Items that share an item_id are one
@@ -18,18 +20,22 @@ are judged one by one. Extra columns are ignored (`clean` keeps them).
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release_memory, small_batches
+from .common import fresh_dir, release_memory, small_batches
 from .fm_index import FMIndex
 from .secrets import cut_out
 
@@ -77,17 +83,36 @@ class WindowBlock:
         return cls(vocabulary, patterns, np.array([len(w) for w in windows], np.int64), [np.array(sorted(x)) for x in windows.values()], ids)
 
 
-def pattern_blocks(spark: SparkSession, benchmark: DataFrame, params: DecontaminationParams, item: str = "item_id", text: str = "text") -> list:
-    """Broadcasts of WindowBlock, each of about block_chars characters."""
+def pattern_blocks(spark: SparkSession, benchmark: DataFrame, params: DecontaminationParams, item: str = "item_id", text: str = "text") -> list[tuple[str, str]]:
+    """(folder, name) of blocks in the shared folder. Only the files that the
+    collected rows name count, whatever a repeated task may leave."""
     small_batches(spark)
-    few = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
-    size = few.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + size // params.block_chars
-    out = []
-    for k in range(blocks):
-        rows = few.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect() if blocks > 1 else few.collect()
-        out.append(spark.sparkContext.broadcast(WindowBlock.of([(r["item"], r["text"]) for r in rows], params.window)))
-    return out
+    few = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
+    blocks = 1 + (few.agg(F.sum(F.length("text"))).first()[0] or 0) // params.block_chars
+    at = fresh_dir(spark, "windows")
+    directory = at if "://" in at or at.startswith("file:") else f"file://{at}"
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [_dump(directory, WindowBlock.of([(i, t if isinstance(t, str) else None) for i, t in zip(g["item"], g["text"])], params.window))]})
+
+    found = few.groupBy(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")).applyInPandas(pack, "name string").collect()  # a name a block
+    return [(directory, r["name"]) for r in found] or [(directory, _dump(directory, WindowBlock.of([], params.window)))]
+
+
+def _dump(directory: str, block: WindowBlock) -> str:
+    store, root = fs.FileSystem.from_uri(directory)
+    store.create_dir(root, recursive=True)
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{root}/{name}", compression=None) as f:
+        f.write(pickle.dumps(block))
+    return name
+
+
+@lru_cache(maxsize=1)
+def _load(directory: str, name: str) -> WindowBlock:
+    store, root = fs.FileSystem.from_uri(directory)
+    with store.open_input_file(f"{root}/{name}") as f:
+        return pickle.loads(f.read())
 
 
 def find(texts: list[str | None], block: WindowBlock) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -154,20 +179,17 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
         yield np.array(part)
 
 
-def judge(texts: list[str | None], blocks: list) -> list[tuple[int, np.ndarray, list[str]]]:
+def judge(texts: list[str | None], blocks: list[tuple[str, str]]) -> list[tuple[int, np.ndarray, list[str]]]:
     """(number of words, places of hit words, item ids as sorted strings)."""
     sizes, hits, items = None, [np.zeros(0, np.int64)] * len(texts), [set() for _ in texts]
-    for b in blocks:
-        block = b.value
+    for at in blocks:
+        block = _load(*at)
         sizes, new, of = find(texts, block)
         for k in range(len(texts)):
             if len(new[k]):
                 hits[k] = np.union1d(hits[k], new[k])
             if len(of[k]):
                 items[k].update(block.ids[i] for i in of[k])
-        if len(blocks) > 1:
-            b._value = None  # only one block is held at a time
-            del b._value
     return [(int(n), h, sorted(i)) for n, h, i in zip(sizes, hits, items)]
 
 

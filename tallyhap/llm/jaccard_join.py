@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release_memory, small_batches, written
+from .common import partitions, release_memory, small_batches, steps, written
 from .components import connected
 
 _CACHE_WORDS = 150_000
@@ -396,7 +396,7 @@ def _search(docs: DataFrame, p: JaccardParams, key: str, text: str) -> _Found:
     small_batches(spark)
     ids = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     few = ids.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))  # texts go by name, since ids may be null or used again
-    named_ids = written(few.select("id", "key"), "jaccard-ids")
+    named_ids = written(few.select("id", "key"), "jaccard-ids", keep=True)
     n_parts = partitions(spark)
     buckets = 4 * n_parts
     # of equal texts the one of the smallest id is read; ids of several texts and null ones are all read
@@ -430,8 +430,9 @@ def _search(docs: DataFrame, p: JaccardParams, key: str, text: str) -> _Found:
 def similar_components(docs: DataFrame, params: JaccardParams = JaccardParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of each row; of the links only those that
     components need are computed."""
-    f = _search(docs, params, key, text)
-    found = _components(f, params)
+    with steps(docs.sparkSession):
+        f = _search(docs, params, key, text)
+        found = _components(f, params)
     # only here do ids come in: a component's name is its smallest one
     smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     out = f.ids.join(found.drop("id").join(smallest, "component", "left"), "key")
@@ -442,8 +443,10 @@ def representatives(docs: DataFrame, params: JaccardParams = JaccardParams(), ke
     """One row of docs for each component, that of the smallest id (null last),
     then of the smallest MD5 of the text, then of the smallest hash of the row;
     rows without words are components of their own and all stay."""
-    f = _search(docs, params, key, text)
-    found = _components(f, params).where("component is not null").select("key", "component")
+    with steps(docs.sparkSession):
+        f = _search(docs, params, key, text)
+        found = _components(f, params)
+    found = found.where("component is not null").select("key", "component")
     best = f.ids.join(found, "key").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("x")).select(F.col("x.id").alias("i"), F.col("x.key").alias("k"))
     times = f.ids.groupBy(F.col("id").alias("i2"), F.col("key").alias("k2")).agg(F.count("*").alias("times"))
     best = written(best.join(times, (F.col("k") == F.col("k2")) & F.col("i").eqNullSafe(F.col("i2"))).select("i", "k", "times"), "jaccard-kept")
@@ -472,7 +475,7 @@ def _components(f: _Found, p: JaccardParams) -> DataFrame:
     whole = f.classes.join(parts, "rep", "left").select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.coalesce("component", "rep").alias("component"))
     least = f.ids.where("id is not null").groupBy("key").agg(F.min("id").alias("id"))
     found = f.rows.join(whole, (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") > 0), "left").join(least, "key", "left")
-    return written(found.select("key", "n", "component", "id"), "jaccard-found")
+    return written(found.select("key", "n", "component", "id"), "jaccard-found", keep=True)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
