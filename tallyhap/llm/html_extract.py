@@ -226,9 +226,12 @@ def tokens(html: str) -> Iterator[tuple[int, int, str | None, str]]:
 
 class Page:
     """A page's pieces of text in order, None where a block ends, each with its
-    block, and all blocks (a parent before its children)."""
+    block, and all blocks (a parent before its children). hashed: with the
+    digests that features need. judged: characters in no element of another
+    purpose, and those of them in articles."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, hashed: bool = True):
+        self.hashed, self.judged = hashed, [0, 0]
         root = Node("", 0, None, 0)
         self.pieces: list[tuple[str | None, Node]] = []
         self.nodes = [root]
@@ -262,12 +265,15 @@ class Page:
             if tag is None:
                 piece = html[start:end]
                 self.pieces.append((piece, block))
-                words = piece.split()
-                if words:
-                    block.parts.append(xxhash.xxh3_64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-                    n = sum(map(len, words))
+                if bare := piece.strip():
+                    if hashed:
+                        block.parts.append(xxhash.xxh3_64_digest(bare.encode("utf-8", "surrogatepass")))
+                    n = len(bare)
                     block.chars += n
                     block.links += n * (anchors > 0)
+                    if not block.other:
+                        self.judged[0] += n
+                        self.judged[1] += n * block.article
                 continue
             if tag == "!":
                 continue
@@ -313,9 +319,13 @@ class Page:
         pop_to(1)
         self._close(root)
 
-    @staticmethod
-    def _close(node: Node) -> None:
+    def _close(self, node: Node) -> None:
         """Bring a branch's figures into the enclosing one."""
+        if node.up is not None:
+            node.up.chars += node.chars
+            node.up.links += node.links
+        if not self.hashed:
+            return
         node.digest = xxhash.xxh3_64_digest(b"".join(node.parts)) if node.parts else b""
         own = xxhash.xxh3_64_hexdigest("|".join(node.shape))
         node.shape, node.parts = [own], []
@@ -323,8 +333,6 @@ class Page:
             if node.digest:
                 node.up.parts.append(node.digest)
             node.up.shape.append(own)
-            node.up.chars += node.chars
-            node.up.links += node.links
 
     def features(self) -> list[tuple[int, int, int, int, int, int]]:
         """(path, shape, content, content of the enclosing branch, characters,
@@ -342,8 +350,7 @@ class Page:
             over = list(dict.fromkeys(n.up for n in nodes))
             mine, above = (xxhash.xxh3_64_intdigest(b"".join(x.digest for x in g)) for g in (nodes, over))
             out.append((_signed(path), _signed(xxhash.xxh3_64_intdigest(shape)), _signed(mine), _signed(above), chars, sum(n.links for n in nodes)))
-        judged = [(len("".join(p.split())), n) for p, n in self.pieces if p is not None and not n.other]
-        out.append((0, 0, 0, 0, sum(c for c, _ in judged), sum(c for c, n in judged if n.article)))
+        out.append((0, 0, 0, 0, *self.judged))
         return out
 
     def text(self, figures: Callable[[int], Figures | None] = lambda path: None, p: ExtractParams = ExtractParams()) -> str:
@@ -351,8 +358,7 @@ class Page:
         figures(0).links is the share of the host's text that is in articles."""
         host = figures(0)
         if host is None:
-            own = self.features()[-1]
-            host = Figures(1, 0, 0, 0, own[5] / own[4] if own[4] else 0.0)
+            host = Figures(1, 0, 0, 0, self.judged[1] / self.judged[0] if self.judged[0] else 0.0)
         outside = p.outside - p.beside * host.links
         keeps_text = {id(self.nodes[0]): outside > 0}
         for n in self.nodes[1:]:
@@ -421,7 +427,7 @@ def extract(pages: DataFrame, params: ExtractParams = ExtractParams(), key: str
 
     def rows(f: pd.DataFrame, of: Callable[[int, str], Callable[[int], Figures | None]]) -> pd.DataFrame:
         hosts = [canonical(u if isinstance(u, str) else None)[0] for u in f["url"]]
-        texts = [Page(h).text(of(k, host), p) if isinstance(h, str) else "" for k, (host, h) in enumerate(zip(hosts, f["html"]))]
+        texts = [Page(h, hashed=False).text(of(k, host), p) if isinstance(h, str) else "" for k, (host, h) in enumerate(zip(hosts, f["html"]))]
         return pd.DataFrame({"key": f["key"], "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     if tree.count() <= p.broadcast_nodes:
