@@ -67,16 +67,20 @@ def query_qualities(blocks: Column, qual: Column, full_length: Column | None = N
     return F.transform(query_bases(blocks, qual, full_length), lambda c: F.ascii(c) - 33)
 
 
+def _character_at(blocks: Column, text: Column, pos: Column) -> Column:
+    hit = F.filter(blocks, lambda b: (pos >= b["s"]) & (pos < b["e"]))
+    at = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["q"] + pos - F.get(hit, F.lit(0))["s"] + 1)
+    return F.substr(text, at.cast("int"), F.lit(1))
+
+
 def base_at(blocks: Column, seq: Column, pos: Column) -> Column:
     """The upper-case base aligned to a reference position; null in an intron,
     a deletion or outside."""
-    hit = F.filter(blocks, lambda b: (pos >= b["s"]) & (pos < b["e"]))
-    at = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["q"] + pos - F.get(hit, F.lit(0))["s"] + 1)
-    return F.upper(F.substr(seq, at.cast("int"), F.lit(1)))
+    return F.upper(_character_at(blocks, seq, pos))
 
 
 def quality_at(blocks: Column, qual: Column, pos: Column) -> Column:
-    return F.ascii(base_at(blocks, qual, pos)) - 33
+    return F.ascii(_character_at(blocks, qual, pos)) - 33
 
 
 def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:

@@ -146,10 +146,12 @@ _INSIDE = "((s.pos >= r.b1_start AND s.pos < r.b1_start + r.b1_len) OR (r.b2_len
 @native(f"""SELECT snp_idx, read_id, CASE WHEN inside THEN substr('ACGT', CAST((read_id * 7 + q * 3) % 4 + 1 AS INT), 1) END AS base, CAST(CASE WHEN inside THEN (read_id + q) % 40 END AS BIGINT) AS quality FROM (
     SELECT s.snp_idx, r.read_id, {_INSIDE} AS inside, {_PLACE} AS q FROM reads r JOIN snps s ON replace(r.chrom, 'chr', '') = s.chrom AND s.pos >= r.b1_start AND s.pos < r.b1_start + r.b1_len + r.gap + r.b2_len)""")
 def native_base_at_snp(spark: SparkSession, d: str) -> DataFrame:
-    r = sam.with_keys(bam.read_bam(spark, _bams(spark, d)), "CB", "UB")
-    both = pileup.snp_reads(r, A.snps(spark, d), A.BIN)
-    at = [f(F.col("blocks"), F.col(c), F.col("p_pos")) for f, c in ((cigar.base_at, "seq"), (cigar.quality_at, "qual"))]
-    return both.select("snp_idx", F.substring("qname", 2, 20).cast("long").alias("read_id"), at[0].alias("base"), at[1].cast("long").alias("quality"))
+    r = sam.with_keys(bam.read_bam(spark, _bams(spark, d)), "CB", "UB").withColumn("rec_idx", F.substring("qname", 2, 20).cast("long"))
+    each = [
+        pileup.snp_reads(x, A.snps(spark, d), A.BIN).select("snp_idx", F.col("rec_idx").alias("read_id"), f(F.col("blocks"), F.col("seq"), F.col("p_pos")).cast(kind).alias(name))
+        for x, f, kind, name in ((r, cigar.base_at, "string", "base"), (r.withColumn("seq", F.col("qual")), cigar.quality_at, "long", "quality"))
+    ]
+    return each[0].join(each[1], ["snp_idx", "read_id"])
 
 
 # -- plans ------------------------------------------------------------------------

@@ -36,8 +36,8 @@ def haplotype_counts(seen: DataFrame, no_dup_hap: bool = True) -> DataFrame:
     return out.where((F.col("dp") > 0) | (F.col("oth") > 0))
 
 
-def count_haplotypes(first: DataFrame, passing: DataFrame, regions: DataFrame, snps: DataFrame, p: AlleleParams = AlleleParams(), width: int = BIN, flips: DataFrame | None = None) -> DataFrame:
-    """first alleles of SNPs that pass, over regions. flips (region_idx,
+def count_haplotypes(first: DataFrame, passing: DataFrame | None, regions: DataFrame, snps: DataFrame, p: AlleleParams = AlleleParams(), width: int = BIN, flips: DataFrame | None = None) -> DataFrame:
+    """first alleles of SNPs that pass (None: of all), over regions. flips (region_idx,
     snp_idx, flip): haplotypes swapped within a region; a SNP absent from the
     flips of a region that has some is left out of that region."""
     inside = region_snps(regions, snps, width)
@@ -46,7 +46,7 @@ def count_haplotypes(first: DataFrame, passing: DataFrame, regions: DataFrame, s
         inside = inside.join(flips, ["region_idx", "snp_idx"], "left").join(phased, "region_idx", "left").where("phased is null or flip is not null")
         swap = F.coalesce(F.col("flip"), F.lit(0)) == 1
         inside = inside.select("region_idx", "snp_idx", "pos", "ref", "alt", F.when(swap, F.col("alt_hap")).otherwise(F.col("ref_hap")).alias("ref_hap"), F.when(swap, F.col("ref_hap")).otherwise(F.col("alt_hap")).alias("alt_hap"))
-    kept = first.join(passing.select("snp_idx"), "snp_idx", "left_semi")
+    kept = first if passing is None else first.join(passing.select("snp_idx"), "snp_idx", "left_semi")
     return haplotype_counts(molecules(kept, inside), p.no_dup_hap)
 
 

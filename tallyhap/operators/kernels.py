@@ -49,13 +49,16 @@ def hmm_posterior(emission: np.ndarray, diagonal: float = 0.99, pi: np.ndarray |
     if transition is None:
         d = (diagonal - 1 / n) * n / (n - 1)
         transition = d * np.eye(n) + (1 - d) / n
-    log_a, log_pi = np.log(transition), np.log(np.full(n, 1 / n) if pi is None else pi)
-    fw, bw = np.empty((m, n)), np.zeros((m, n))
-    for i in range(m):
-        fw[i] = emission[i] + (log_pi if i == 0 else log_dot_exp(fw[i - 1][None], log_a)[0])
+    likely = np.exp(less_max(emission))
+    before, after = np.empty((m, n)), np.ones((m, n))
+    ahead = np.full(n, 1 / n) if pi is None else pi
+    for i in range(m):  # each step is scaled to a distribution, so nothing runs out of range
+        before[i] = ahead * likely[i] / (ahead @ likely[i])
+        ahead = before[i] @ transition
     for i in range(m - 1, 0, -1):
-        bw[i - 1] = log_dot_exp((bw[i] + emission[i])[None], log_a.T)[0]
-    return posterior(fw + bw)
+        back = transition @ (likely[i] * after[i])
+        after[i - 1] = back / back.sum()
+    return normalise(before * after)
 
 
 def _clamped(theta: np.ndarray, epsilon: float) -> np.ndarray:

@@ -45,6 +45,12 @@ def snp_totals(first: DataFrame, snps: DataFrame) -> DataFrame:
     return few.groupBy("snp_idx").agg(F.count("*").alias("total"), F.count_if(F.col("allele") == F.col("ref")).alias("n_ref"), F.count_if(F.col("allele") == F.col("alt")).alias("n_alt"))
 
 
+def snps_that_pass(first: DataFrame, snps: DataFrame, p: AlleleParams) -> DataFrame | None:
+    """The SNPs that pass by their totals, or None where any SNP with an allele
+    does, so that no totals need be taken."""
+    return None if p.min_count <= 1 and p.min_maf <= 0 else passing_snps(snp_totals(first, snps), p)
+
+
 def passing_snps(totals: DataFrame, p: AlleleParams) -> DataFrame:
     return totals.where((F.col("total") >= p.min_count) & (F.least("n_ref", "n_alt") >= F.col("total") * p.min_maf))
 

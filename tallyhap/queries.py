@@ -11,6 +11,7 @@ from . import adapters as A
 from .functions import alleles, chrom, cigar, fields
 from .operators import depth, filters, fixref, haplotypes, intervals, matrices, phasing, pileup, regions, variants
 from .params import AlleleParams, DepthParams, PhaseParams
+from .session import written_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,7 +77,7 @@ def _first(spark: SparkSession, d: str) -> DataFrame:
 
 def _hap(spark: SparkSession, d: str, p: AlleleParams = ALLELE) -> DataFrame:
     first, snps = _first(spark, d), A.snps(spark, d)
-    passing = pileup.passing_snps(pileup.snp_totals(first, snps), p)
+    passing = pileup.snps_that_pass(first, snps, p)
     return haplotypes.count_haplotypes(first, passing, A.regions(spark, d), snps, p, A.BIN)
 
 
@@ -253,7 +254,7 @@ def dup_umi_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _coo(value: str):
     def f(spark: SparkSession, d: str) -> DataFrame:
-        counts = _hap(spark, d)
+        counts = written_once(_hap(spark, d), "hap")  # entries and rows both come from it
         rows = matrices.row_index(haplotypes.kept_regions(A.regions(spark, d), counts, False))
         return matrices.coordinates(counts, value, rows, matrices.column_index(A.cells(spark)))
 

@@ -5,35 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import stream, text_file
+from .files import write_rows
 
 
 def write_mtx(coo: DataFrame, path: str, n_rows: int, n_cols: int) -> int:
     """A coordinate matrix in order of row and column; returns its entries."""
-    coo = coo.select("row", "col", "value")
-    n = coo.count()
-    written = 0
-    with text_file(path) as write:
-        write("%%MatrixMarket matrix coordinate integer general")
-        write("%")
-        write(f"{n_rows}\t{n_cols}\t{n}")
-        for r in stream(coo.orderBy("row", "col")):
-            write(f"{r[0]}\t{r[1]}\t{r[2]}")
-            written += 1
-    if written != n:
-        raise RuntimeError(f"{path}: {written} of {n} entries written")
-    return n
+    ordered = coo.select("row", "col", "value").orderBy("row", "col")
+    return write_rows(ordered, path, lambda n: ["%%MatrixMarket matrix coordinate integer general", "%", f"{n_rows}\t{n_cols}\t{n}"])
 
 
 def write_lines(df: DataFrame, path: str, header: list[str] = (), sep: str = "\t") -> int:
-    n = 0
-    with text_file(path) as write:
-        for h in header:
-            write(h)
-        for r in stream(df):
-            write(sep.join("" if x is None else str(x) for x in r))
-            n += 1
-    return n
+    return write_rows(df, path, lambda n: list(header), sep)
 
 
 def write_allele_dir(path: str, features: DataFrame, cells: DataFrame, layers: dict[str, DataFrame], prefix: str = "allele.") -> dict[str, int]:

@@ -1,5 +1,6 @@
 """Micro fixtures, one per rule."""
 
+import gzip
 import math
 import struct
 
@@ -12,7 +13,7 @@ from tallyhap import queries
 from tallyhap.functions import alleles, chrom, cigar, fields
 from tallyhap.operators import depth, fixref, haplotypes, kernels, phasing, pileup, regions, variants
 from tallyhap.params import AlleleParams, CorrectionParams, DepthParams, PhaseParams, check_modes, resolve_umi_tag
-from tallyhap.plans import counting
+from tallyhap.plans import cli, counting
 from tallyhap.sinks import bam as bam_sink
 from tallyhap.sinks import files, tables
 from tallyhap.sources import bam, cells, mtx, sam, vcf
@@ -378,6 +379,36 @@ def test_bam_pieces_and_regions(spark, tmp_path):
     assert kept.count() == sum(x[3] == 0 or x[3] == 16 for x in rows) and bam.read_bam(spark, [path], min_mapq=61).count() == 0
 
 
+def test_vcf_index(tmp_path):
+    r = np.random.default_rng(4)
+    rows = sorted((c, int(p)) for c in (1, 2) for p in r.integers(1, 900_000, 3000))
+    path = str(tmp_path / "v.vcf.gz")
+    with files.text_file(path) as write:
+        write("##x")
+        write("#CHROM\tPOS\tID\tREF\tALT")
+        for c, p in rows:
+            write(f"chr{c}\t{p}\t.\tA\tC")
+    bam_sink.index_vcf(path)
+    data = gzip.decompress(open(path + ".tbi", "rb").read())
+    n, kind, *columns = struct.unpack_from("<7i", data, 4)
+    assert (data[:4], n, kind, columns) == (b"TBI\1", 2, 2, [1, 2, 0, 35, 0]) and data[36:46] == b"chr1\0chr2\0"
+    index = bam.Index(b"BAI\1" + data[4:8] + data[46:])
+    for c, a, b in ((1, 100_000, 120_000), (2, 1, 900_000), (2, 5, 6)):
+        got = []
+        for s, e in index.chunks(c - 1, a - 1, b):
+            with open(path, "rb") as f:
+                x = bam.Blocks(f, s)
+                while x.tell() < e and (line := x.line()):
+                    v = line.split(b"\t")
+                    got += [int(v[1])] * (v[0] == b"chr%d" % c and a <= int(v[1]) <= b)
+        assert got == [p for q, p in rows if q == c and a <= p <= b]
+    with files.text_file(path) as write:
+        write("chr1\t9\t.\tA\tC")
+        write("chr1\t8\t.\tA\tC")
+    with pytest.raises(ValueError):
+        bam_sink.index_vcf(path)
+
+
 def test_genomes_without_one_window(spark, tmp_path):
     r = np.random.default_rng(3)
     contigs = {f"c{k}": "".join(r.choice(list("ACGT"), int(r.integers(1, 60_000)))) for k in range(40)}
@@ -429,6 +460,36 @@ def test_pipeline_with_hook(spark, inputs):
     assert got.count() == 2 and "FORMAT" in seen
 
 
+def test_commands(spark, inputs, capsys, monkeypatch):
+    """baf with a phasing program (a stand-in that swaps every haplotype), and fixref to standard output."""
+    panel, program = inputs / "panel", inputs / "phase.sh"
+    panel.mkdir()
+    (panel / "x.chr1.bcf").write_text("")
+    (inputs / "map.txt").write_text("")
+    program.write_text('#!/bin/sh\nwhile [ $# -gt 0 ]; do case $1 in --vcfTarget) t=$2;; --outPrefix) o=$2;; esac; shift 2; done\ngzip -dc $t | sed "s|0/1$|1\\|0|" | gzip > $o.vcf.gz\n')
+    program.chmod(0o755)
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    args = ["baf", "-s", str(inputs / "a.sam"), "-b", str(inputs / "cells.txt"), "-R", str(inputs / "regions.tsv"), "--snpvcf", str(inputs / "snps.vcf"), "--minCOUNT", "1", "--minMAF", "0"]
+    assert cli.main([*args, "-O", str(inputs / "plain")]) == 0
+    assert cli.main([*args, "-O", str(inputs / "phased"), "--eagle", str(program), "--gmap", str(inputs / "map.txt"), "--paneldir", str(panel)]) == 0
+    layer = lambda d: {(r.row, r.col, r.layer): r.value for r in mtx.read_allele_dir(spark, str(inputs / d))["counts"].collect()}
+    plain, phased = layer("plain"), layer("phased")
+    assert {k: v for k, v in plain.items() if k[2] != "AD"} == {k: v for k, v in phased.items() if k[2] != "AD"} and plain != phased
+    with pytest.raises(SystemExit):
+        cli.main([*args, "-O", "x", "--eagle", str(program)])
+    (inputs / "g.fa").write_text(">chr1\n" + "ACGT" * 100 + "\n")
+    capsys.readouterr()
+    assert cli.main(["fixref", "-i", str(inputs / "snps.vcf"), "-r", str(inputs / "g.fa"), "-v"]) == 0
+    body = [x.split("\t") for x in capsys.readouterr().out.splitlines() if not x.startswith("#")]
+    assert [(x[1], x[3], x[4], x[9]) for x in body] == [("121", "A", "C", "0|1:0|1"), ("125", "A", "G", "1/1:1/1")]
+
+
+def test_qualities_keep_their_case(spark):
+    df = spark.createDataFrame([("4M", "acgt", "aAzZ", 1)], "c string, s string, q string, p long")
+    b = cigar.cigar_blocks(F.col("c"), F.col("p"))
+    assert list(df.select(*[cigar.quality_at(b, F.col("q"), F.lit(k)) for k in (1, 2, 3, 4)]).first()) == [64, 32, 89, 57]
+
+
 def test_phasing_correction_plan(spark, tmp_path):
     rows = [x for x in phase_rows() if x[0] == 1]
     head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n"
