@@ -6,8 +6,10 @@ smallest id is a response, the others are revisits of it. The task sorts the
 index of each file by URL key, timestamp and id: a locally sorted capture run,
 which is kept in the shared folder. Runs are dealt by as many ranges of that key
 as the index needs for `range_rows` rows each, and each task merges its parts of
-them by a loser tree, which gives globally ordered capture histories; records
-are read back from the archives along them.
+them externally: what exceeds `range_rows` rows goes to sorted run files in the
+shared folder, `fan_in` files become one where more would be open, and a loser
+tree merges the streams of the rest. That gives globally ordered capture
+histories; records are read back from the archives along them.
 
 Files are named by attempt and the index rows that name them are written once,
 so a lost executor leaves at most files that no index row names. Payloads are
@@ -24,7 +26,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import pickle
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -51,6 +55,7 @@ class WarcParams:
     least_revisit: int = 0
     file_bytes: int = 64 << 20
     range_rows: int = 50_000
+    fan_in: int = 64
     level: int = 4
 
 
@@ -139,6 +144,60 @@ class LoserTree:
             self._play(top)
 
 
+class ExternalMerge:
+    """Merges runs that come one after another, a new one wherever the order
+    breaks. At most `most` entries are held; beyond, they are merged into a
+    sorted run file, and `fan_in` files into one."""
+
+    def __init__(self, store: fs.FileSystem, root: str, most: int, fan_in: int):
+        self.store, self.root, self.most, self.fan_in = store, root, most, fan_in
+        self.runs: list[list] = []
+        self.held, self.files = 0, []
+
+    def add(self, entry) -> None:
+        if not self.runs or entry < self.runs[-1][-1]:
+            self.runs.append([])
+        self.runs[-1].append(entry)
+        self.held += 1
+        if self.held >= self.most:
+            self._spill([iter(r) for r in self.runs])
+            self.runs, self.held = [], 0
+            if len(self.files) >= self.fan_in:
+                old, self.files = self.files, []
+                self._spill([self._read(x) for x in old])
+                self._delete(old)
+
+    def __iter__(self):
+        yield from LoserTree([self._read(x) for x in self.files] + [iter(r) for r in self.runs])
+        self._delete(self.files)
+
+    def _spill(self, runs: list[Iterator]) -> None:
+        name, part = f"{self.root}/{uuid.uuid4().hex}.run", []
+        with self.store.open_output_stream(name, compression=None) as f:
+            for e in LoserTree(runs):
+                part.append(e)
+                if len(part) == 1024:
+                    self._frame(f, part)
+                    part = []
+            if part:
+                self._frame(f, part)
+        self.files.append(name)
+
+    @staticmethod
+    def _frame(f, part: list) -> None:
+        data = pickle.dumps(part)
+        f.write(struct.pack("<q", len(data)) + data)
+
+    def _read(self, name: str) -> Iterator:
+        with self.store.open_input_stream(name, compression=None) as f:
+            while head := f.read(8):
+                yield from pickle.loads(f.read(struct.unpack("<q", head)[0]))
+
+    def _delete(self, names: list[str]) -> None:
+        for x in names:
+            self.store.delete_file(x)
+
+
 def write_archives(pages: DataFrame, directory: str, params: WarcParams = WarcParams(), key: str = "page_id", url: str = "url", html: str = "html", timestamp: str | None = None) -> DataFrame:
     """Write the archives below `directory` (a URI that executors share) and
     return the index: url_key, timestamp, page, file, offset, length."""
@@ -187,16 +246,13 @@ def histories(index: DataFrame, directory: str, params: WarcParams = WarcParams(
     timestamp, page_id, payload_bytes, payload_digest, record_type, refers_to."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: list[list[tuple]] = []
-        for f in it:  # a part of a run ends where the order breaks
+        store, root = fs.FileSystem.from_uri(directory)
+        merge = ExternalMerge(store, root, params.range_rows, params.fan_in)
+        for f in it:
             for u, t, g, x, o, n in zip(f["url_key"], f["timestamp"], f["page"], f["file"], f["offset"], f["length"]):
-                e = (u, int(t), -1 if pd.isna(g) else int(g), x, int(o), int(n))
-                if not runs or e < runs[-1][-1]:
-                    runs.append([])
-                runs[-1].append(e)
-        store, _ = fs.FileSystem.from_uri(directory)
+                merge.add((u, int(t), -1 if pd.isna(g) else int(g), x, int(o), int(n)))
         part: list[tuple] = []
-        for e in LoserTree(runs):
+        for e in merge:
             part.append(e)
             if len(part) == 2048:
                 yield _read(store, part)

@@ -430,12 +430,25 @@ def test_loser_tree_merges():
         assert list(warc.LoserTree([iter(x) for x in runs])) == sorted(sum(runs, []))
 
 
+@pytest.mark.parametrize("most,fan_in", [(10**6, 64), (7, 3), (1, 2)])
+def test_external_merge(tmp_path, most, fan_in):
+    r = random.Random(41)
+    store, root = warc.fs.FileSystem.from_uri(f"file://{tmp_path}")
+    for _ in range(5):
+        runs = [sorted(r.randint(0, 50) for _ in range(r.randint(1, 30))) for _ in range(r.randint(0, 12))]
+        merge = warc.ExternalMerge(store, root, most, fan_in)
+        for run in runs:
+            for e in run:
+                merge.add(e)
+        assert len(merge.files) < fan_in and list(merge) == sorted(sum(runs, [])) and not list(tmp_path.iterdir())
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://b.com/x", "hé"), (2, "http://a.b.com/", "hé"), (3, None, None), (4, "http://c.com/ y\r\nz", ""), (9, "http://b.com/a", "other" * 1000), (9, "http://b.com/a", "other" * 1000), (None, "http://n.com/", "hé"), (None, "http://n.com/", "lone")]
     df = spark.createDataFrame([(*x, "w") for x in rows], "page_id long, url string, html string, record_type string").repartition(3)
     where = warc.archive_directory(spark)
     index = warc.write_archives(df, where, warc.WarcParams(file_bytes=200))
-    got = warc.histories(index, where).collect()
+    got = warc.histories(index, where, warc.WarcParams(range_rows=1, fan_in=2)).collect()
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     want = []
     for page, _, t in rows:
