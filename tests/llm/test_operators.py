@@ -279,6 +279,61 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.with_toxicity(df.limit(3), none).count() == 3
 
 
+def test_toxicity_is_learned_from_every_labelled_row(spark):
+    """Filters, calibration and thresholds, where the first sample is a small part."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    bad = ["zorky", "vextar", "quibon", "mulk", "trunop", "wopsil", "yintu", "krosp"]
+    rows = [(k, " ".join([word() for _ in range(r.randint(5, 30))] + [bad[k // 3 % 8]] * (k % 3 == 0)), ("en", "de", "fr")[r.randrange(3)], k % 3 == 0) for k in range(2400)]
+    df = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, t, lang, _ in rows], DOCS).repartition(3)
+    labels = spark.createDataFrame([(k, int(t)) for k, _, _, t in rows], "doc_id long, toxic int")
+    params = toxicity.ToxicityParams(sample_toxic=8, sample_clean=16, min_toxic=10)
+    model = toxicity.train(df, labels, params)
+    scores = model.scores([t for _, t, _, _ in rows])
+    held = [zlib.crc32(str(k).encode()) % 4 == 2 for k in range(len(rows))]
+    assert np.mean([s >= 0.3 for s, h, x in zip(scores, held, rows) if h and x[3]]) > 0.85
+    assert np.mean([s >= 0.3 for s, h, x in zip(scores, held, rows) if h and not x[3]]) < 0.1
+
+    # every row that may be learned from has one part, and all of the last one set the thresholds
+    parts = {x.doc_id: x.part for x in toxicity.labelled(df, labels.where(~toxicity.held_out(F.col("doc_id"))), len(rows)).collect()}
+    assert sorted(parts) == [k for k, h in enumerate(held) if not h] and set(parts.values()) == {0, 1, 2}
+    last = [(rows[k][2], int(rows[k][3]), scores[k]) for k, part in parts.items() if part == 2]
+    want = brute_thresholds(last, 10)
+    assert len(want) == 3 and model.thresholds.keys() == want.keys() and all(abs(model.thresholds[k] - want[k]) < 1e-9 for k in want)
+    # calibrated on all of the second: scores sum up to the toxic share (within the smoothing of the targets)
+    fine = [(scores[k], rows[k][3]) for k, part in parts.items() if part == 1]
+    assert abs(np.mean([s for s, _ in fine]) - np.mean([t for _, t in fine])) < 0.03
+    # the rows' places decide nothing, also where tasks learn in shards
+    some = df.where("doc_id < 400")
+    few = toxicity.ToxicityParams(sample_toxic=8, sample_clean=16, shard_rows=60, passes=1)
+    again = [toxicity.train(d, labels, few) for d in (some, some.orderBy(F.desc("doc_id")))]
+    assert again[0].platt == again[1].platt and (again[0].cnn.E == again[1].cnn.E).all()
+    assert (again[0].cnn.E != toxicity.train(some, labels, toxicity.ToxicityParams(sample_toxic=8, sample_clean=16, passes=0)).cnn.E).any()
+
+
+def brute_thresholds(scored, least):
+    """Each cut between two scores, tried on all rows."""
+    out = {}
+    for k in {lang for lang, _, _ in scored if lang}:
+        own = [(t, s) for lang, t, s in scored if lang == k]
+        toxic, order = sum(t for t, _ in own), sorted({s for _, s in own}, reverse=True)
+        if toxic >= least:
+            f1 = [2 * sum(t for t, s in own if s >= cut) / (sum(s >= cut for _, s in own) + toxic) for cut in order]
+            best = f1.index(max(f1))
+            out[k] = (order[best] + [*order[1:], 0.0][best]) / 2
+    return out
+
+
+def test_language_thresholds_against_brute_force(spark):
+    r = random.Random(31)
+    scored = [(lang, int(r.random() < s), s) for lang, n in (("en", 400), ("de", 90), ("fr", 5), ("", 50), (None, 50)) for s in (round(r.random() ** 3, r.choice([1, 2, 9])) * 0.99 + 0.001 for _ in range(n))]
+    scored += [("it", 1, 0.5)] * 20 + [("pt", int(k % 2), 0.25) for k in range(40)] + [("nl", int(k < 20), 0.9 - k / 100) for k in range(60)]
+    got = toxicity.best_thresholds(spark.createDataFrame(scored, "lang string, toxic int, p double").repartition(5), 10)
+    want = brute_thresholds(scored, 10)
+    assert want.keys() == {"en", "de", "it", "pt", "nl"} and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert toxicity.best_thresholds(spark.createDataFrame([], "lang string, toxic int, p double"), 1) == {}
+
+
 def test_scores_against_plain_convolution():
     """Word by word and filter by filter."""
     r = np.random.default_rng(17)
