@@ -1,5 +1,7 @@
 """The pipeline against its stages' brute-force versions."""
 
+import random
+
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -82,3 +84,18 @@ def test_of_repeated_and_unnamed_copies_one_stays(spark):
     docs = spark.createDataFrame([(None, text, "en", "a", 9), (None, text, "en", "a", 9), (4, text.upper(), "en", "b", 9), (4, text.upper(), "en", "b", 9), (5, text + " more", "en", "b", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in cp.jaccard_stage(spark, docs, DATA).collect()] == [4]
     assert cp.jaccard_stage(spark, docs.where(F.col("doc_id").isNull()), DATA).count() == 1
+
+
+def test_toxicity_stage_learns_beyond_its_first_sample(spark, tmp_path):
+    """A word of labelled rows that are none of the 1,500 toxic ones with the lowest hashes."""
+    r = random.Random(41)
+    ids = spark.range(8000).withColumnRenamed("id", "doc_id")
+    late = {x.doc_id for x in ids.where((F.col("doc_id") % 2 == 1) & ~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()[1500:]}
+    held = {x.doc_id for x in ids.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    mark = lambda k: "" if k % 2 == 0 else " zorky" if k in late or k in held else " vextar"
+    rows = [(k, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5))) for _ in range(6)) + mark(k), "en", "s", 9) for k in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int")).write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {x.doc_id for x in cp.toxicity_stage(spark, docs, str(tmp_path)).collect()}
+    toxic = {k for k in held if k % 2}
+    assert len(late) > 1000 and len(kept & toxic) < 0.05 * len(toxic) and len(kept & (held - toxic)) > 0.95 * len(held - toxic)
