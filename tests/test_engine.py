@@ -88,6 +88,50 @@ def test_duplicate_names_and_long_regions(spark):
     assert totals == {1: 2, 2: 2, 3: 0}
 
 
+def brute_depth(rows, regions_, p, by=lambda r: r.cell):
+    """Distinct molecules of each region and cell, pair by pair."""
+    out = {}
+    for g in regions_:
+        for r in rows:
+            inside, n = (sum(max(0, min(b.e, e) - max(b.s, s)) for b in r.blocks) for s, e in ((g[2], g[3]), (0, 1 << 40)))
+            enough = inside / n >= p.min_include if 0 < p.min_include < 1 else inside >= p.min_include
+            if r.chrom == "chr" + g[1] and r.pos < g[3] and g[2] < r.end_excl and enough:
+                out.setdefault((g[0], by(r)), set()).add(r.umi)
+    return {k: len(v) for k, v in out.items()}
+
+
+def random_reads(seed, n=400):
+    r, forms = np.random.default_rng(seed), ("40M", "30M", "5S61M", "33M2I8M", "20M300N20M", "12M40N30M3D9M", "35M1200N25M")
+    return [read(k, int(r.integers(1, 2500)), str(r.choice(forms)), f"U{r.integers(0, 60) if k % 2 else 100 + k}", str(r.choice(["A", "B"])), chrom_=str(r.choice(["chr1", "chr2"]))) for k in range(n)]
+
+
+def random_regions(seed, n=60):
+    r = np.random.default_rng(seed)
+    some = [(k, str(r.choice(["1", "2"])), int(s := r.integers(1, 2800)), int(s + r.integers(1, (30, 80, 400, 2000)[k % 4])), "g") for k in range(n)]
+    return some + [(n + k, *x[1:]) for k, x in enumerate(some[:20])]  # some extents twice
+
+
+def held_against_pairs(spark, p, seed, edit=lambda r: r, cells_=None, by="cell"):
+    r, g = edit(reads(spark, random_reads(seed))), random_regions(seed + 1)
+    got = {(x.region_idx, x.cell): x.n for x in depth.count_depth(r, region_table(spark, g), cells_ or cell_table(spark, "A", "B"), p, 100, by=by).collect()}
+    assert got and got == brute_depth(r.collect(), g, p, (lambda x: x.cell) if by == "cell" else (lambda x: f"S{x.file_idx}"))
+
+
+@pytest.mark.parametrize("include", [0.9, 0.3])
+def test_depth_with_all_regions_against_pairs(spark, include):
+    held_against_pairs(spark, DepthParams(min_include=include), 11)
+
+
+def test_molecule_meets_a_region_once(spark):
+    """However many of its reads a region includes, and each extent once."""
+    r = reads(spark, [read(k, 100 + k, "40M") for k in range(200)])
+    for include in (0.9, 30, 0):
+        p = DepthParams(min_include=include)
+        g = region_table(spark, [(k, "1", 50, 400, "g") for k in range(30)])
+        met = depth.molecule_regions(r, g.select("region_idx", F.col("chrom").alias("key"), "start", "end_excl").where("region_idx = 0"), p)
+        assert met.count() == 1 and depth.count_depth(r, g, cell_table(spark, "A"), p).where("n = 1").count() == 30
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
