@@ -132,6 +132,10 @@ def test_molecule_meets_a_region_once(spark):
         assert met.count() == 1 and depth.count_depth(r, g, cell_table(spark, "A"), p).where("n = 1").count() == 30
 
 
+def test_any_overlap_against_pairs(spark):
+    held_against_pairs(spark, DepthParams(min_include=0), 12)
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
