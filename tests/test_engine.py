@@ -136,6 +136,13 @@ def test_any_overlap_against_pairs(spark):
     held_against_pairs(spark, DepthParams(min_include=0), 12)
 
 
+def test_wells_against_pairs(spark):
+    """Reads of one name are one molecule of their file; most stand alone."""
+    samples = spark.createDataFrame([(0, "S0"), (1, "S1")], "file_idx int, cell string")
+    edit = lambda r: r.withColumn("file_idx", (F.col("rec_idx") % 2).cast("int")).withColumn("umi", F.concat(F.lit("q"), F.floor(F.col("rec_idx") / 3).cast("string"))).withColumn("cell", F.lit(None).cast("string"))
+    held_against_pairs(spark, DepthParams(cell_tag=None, umi_tag=None), 13, edit, samples, "file_idx")
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
