@@ -143,6 +143,11 @@ def test_wells_against_pairs(spark):
     held_against_pairs(spark, DepthParams(cell_tag=None, umi_tag=None), 13, edit, samples, "file_idx")
 
 
+@pytest.mark.parametrize("include", [30, 1.0, 45])
+def test_min_bases_against_pairs(spark, include):
+    held_against_pairs(spark, DepthParams(min_include=include), 14)
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
