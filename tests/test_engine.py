@@ -148,6 +148,10 @@ def test_min_bases_against_pairs(spark, include):
     held_against_pairs(spark, DepthParams(min_include=include), 14)
 
 
+def test_read_names_against_pairs(spark):
+    held_against_pairs(spark, DepthParams(umi_tag=None), 15, lambda r: r.withColumn("umi", F.when(F.col("rec_idx") % 5 == 0, "mate").otherwise(F.col("qname"))))
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
