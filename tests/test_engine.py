@@ -152,6 +152,10 @@ def test_read_names_against_pairs(spark):
     held_against_pairs(spark, DepthParams(umi_tag=None), 15, lambda r: r.withColumn("umi", F.when(F.col("rec_idx") % 5 == 0, "mate").otherwise(F.col("qname"))))
 
 
+def test_umis_of_many_reads_against_pairs(spark):
+    held_against_pairs(spark, DepthParams(), 16, lambda r: r.withColumn("umi", F.concat(F.lit("U"), (F.col("rec_idx") % 3).cast("string"))))
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
