@@ -447,6 +447,36 @@ def test_bam_pieces_and_regions(spark, tmp_path):
     assert kept.count() == sum(x[3] == 0 or x[3] == 16 for x in rows) and bam.read_bam(spark, [path], min_mapq=61).count() == 0
 
 
+@pytest.fixture
+def rows_to_driver(monkeypatch):
+    """Rows that each collect() brings; streams to the driver fail."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows are streamed to the driver"))
+    monkeypatch.setattr(DataFrame, "collect", lambda df: [seen.append(len(x := collect(df))), x][1])
+    return seen
+
+
+def sorted_reads(spark, n):
+    r = np.random.default_rng(5)
+    bases = lambda m: "".join(r.choice(list("ACGTNRY"), m))
+    rows = [(0, k, f"r{k}", k % 3 * 16, (None, "c1", "c2")[k % 13 % 3], int(r.integers(1, 90_000)), 60, ("31M", "5S20M100N6M")[k % 2], bases(31), None if k % 7 == 0 else "".join(map(chr, r.integers(33, 73, 31))), {"UB": "U1", "CB": f"x{k % 5}"} if k % 4 else {}) for k in range(n)]
+    return rows, spark.createDataFrame(rows, bam.READS).repartition(5)
+
+
+def test_bam_is_written_by_tasks(spark, tmp_path, rows_to_driver):
+    rows, df = sorted_reads(spark, 20_000)
+    path = str(tmp_path / "x.bam")
+    assert bam_sink.write_bam(df, path, [("c2", 100_000), ("c1", 100_000)]) == 20_000 and sum(rows_to_driver) < 50
+    got = bam.read_bam(spark, [path], split_bytes=20_000).orderBy("rec_idx").collect()
+    want = sorted(rows, key=lambda x: ({"c2": 0, "c1": 1}.get(x[4], 2), x[5], x[1]))
+    assert [tuple(x)[2:] for x in got] == [x[2:] for x in want]
+    found = bam.read_bam(spark, [path], region="c1:30000-31000").collect()
+    assert sorted(x.qname for x in found) == sorted(x[2] for x in rows if x[4] == "c1" and x[5] <= 31_000 and x[5] + (31 if x[7] == "31M" else 126) > 30_000)
+    assert bam_sink.write_bam(df.where("false"), path, [("c1", 9)]) == 0 and bam.read_bam(spark, [path]).count() == 0
+
+
 def test_vcf_index(tmp_path):
     r = np.random.default_rng(4)
     rows = sorted((c, int(p)) for c in (1, 2) for p in r.integers(1, 900_000, 3000))
