@@ -477,6 +477,14 @@ def test_bam_is_written_by_tasks(spark, tmp_path, rows_to_driver):
     assert bam_sink.write_bam(df.where("false"), path, [("c1", 9)]) == 0 and bam.read_bam(spark, [path]).count() == 0
 
 
+def test_sam_is_written_by_tasks(spark, tmp_path, rows_to_driver):
+    rows, df = sorted_reads(spark, 2000)
+    path = str(tmp_path / "x.sam")
+    assert bam_sink.write_sam(df, path, [("c1", 100_000), ("c2", 100_000)]) == 2000 and sum(rows_to_driver) < 50
+    assert [tuple(x)[2:] for x in sam.read_sam(spark, [path]).orderBy("rec_idx").collect()] == [x[2:] for x in rows]
+    assert sam.sam_sequences(spark, path) == {"c1": 100_000, "c2": 100_000}
+
+
 def test_vcf_index(tmp_path):
     r = np.random.default_rng(4)
     rows = sorted((c, int(p)) for c in (1, 2) for p in r.integers(1, 900_000, 3000))
