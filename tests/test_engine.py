@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhap import queries
 from tallyhap.functions import alleles, chrom, cigar, fields
-from tallyhap.operators import depth, fixref, haplotypes, kernels, phasing, pileup, regions, variants
+from tallyhap.operators import depth, fixref, haplotypes, intervals, kernels, phasing, pileup, regions, variants
 from tallyhap.params import AlleleParams, CorrectionParams, DepthParams, PhaseParams, check_modes, resolve_umi_tag
 from tallyhap.plans import cli, counting
 from tallyhap.sinks import bam as bam_sink
@@ -159,6 +159,18 @@ def test_umis_of_many_reads_against_pairs(spark):
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
+def test_regions_of_one_extent_meet_a_read_once(spark):
+    r = np.random.default_rng(21)
+    g = [(k, str(k % 2), int(a), int(a + 40 * (k % 5))) for k, a in enumerate(r.integers(1, 3000, 60))]
+    g += [(100 + k, *g[7][1:]) for k in range(600)]
+    x = [(k, str(k % 2), int(a), int(a + r.integers(1, 300))) for k, a in enumerate(r.integers(1, 3000, 200))]
+    left, right = spark.createDataFrame(g, "id long, key string, start long, end_excl long"), spark.createDataFrame(x, "o long, o_key string, o_start long, o_end long")
+    met = intervals.overlapping_ids(left, right, "id", 100)
+    want = sorted((a[0], b[0]) for a in g for b in x if a[1] == b[1] and a[2] < b[3] and b[2] < a[3] and a[2] < a[3])
+    assert sorted((p.id, p.o) for p in met.collect()) == want
+    assert "_ids" in met._jdf.queryExecution().optimizedPlan().toString() and met.rdd.getNumPartitions() > 1
+
+
 def test_first_read_wins_even_with_null(spark):
     r = reads(spark, [read(1, 100, "20M60N20M", seq="G" * 40), read(2, 110, "40M", seq="C" * 40), read(3, 111, "40M", "U2", seq="C" * 40)])
     first = pileup.first_alleles(r, snp_table(spark, SNPS[:1]), cell_table(spark, "A"))
