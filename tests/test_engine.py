@@ -156,6 +156,39 @@ def test_umis_of_many_reads_against_pairs(spark):
     held_against_pairs(spark, DepthParams(), 16, lambda r: r.withColumn("umi", F.concat(F.lit("U"), (F.col("rec_idx") % 3).cast("string"))))
 
 
+def dense_pileup(spark, seed=31):
+    """Reads of few molecules over many SNPs, in two files, and the SNPs."""
+    r = np.random.default_rng(seed)
+    rows = [(int(r.integers(0, 2)), k, f"r{k}", str(r.choice(["A", "B"])), f"U{r.integers(0, 3)}", str(r.choice(["chr1", "2"])), int(r.integers(1, 1500)), 60, 0, str(r.choice(["40M", "20M200N20M", "10M5D30M"])), "".join(r.choice(list("ACGT"), 40))) for k in range(300)]
+    places = sorted({(str(r.choice(["1", "2"])), int(x)) for x in r.integers(1, 1700, 250)})
+    return reads(spark, rows), [(k, c, x, "A", "C", k % 2, 1 - k % 2) for k, (c, x) in enumerate(places)]
+
+
+def test_first_alleles_against_all_reads(spark):
+    r, snps = dense_pileup(spark)
+    all_reads = sorted(r.collect(), key=lambda x: (x.file_idx, x.pos, x.rec_idx))
+    want = {}
+    for k, c, at, *_ in snps:
+        for x in all_reads:
+            if x.chrom.removeprefix("chr") == c and x.pos <= at < x.end_excl:
+                b = [x.seq[b.q + at - b.s] for b in x.blocks if b.s <= at < b.e]
+                want.setdefault((k, x.cell, x.umi), b[0] if b else None)
+    got = pileup.first_alleles(r, snp_table(spark, snps), cell_table(spark, "A", "B"), width=100)
+    assert {(x.snp_idx, x.cell, x.umi): x.allele for x in got.collect()} == want and None in want.values()
+    spans = pileup.first_spans(r)
+    assert pileup.point_join(spans, pileup.snp_points(snp_table(spark, snps)), 100).count() <= 2 * len(want)  # once a file
+
+
+@pytest.mark.parametrize("no_dup", [True, False])
+def test_haplotypes_against_all_snps(spark, no_dup):
+    r, snps = dense_pileup(spark, 32)
+    g, s = region_table(spark, random_regions(33)), snp_table(spark, snps)
+    first = pileup.first_alleles(r, s, cell_table(spark, "A", "B"))
+    key = lambda df: sorted(map(tuple, df.select("region_idx", "cell", "ad", "dp", "oth").collect()))
+    want = key(haplotypes.haplotype_counts(haplotypes.molecules(first, haplotypes.region_snps(g, s)), no_dup))
+    assert want and key(haplotypes.count_haplotypes(first, None, g, s, AlleleParams(no_dup_hap=no_dup), 100)) == want
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
