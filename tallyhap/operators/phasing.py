@@ -32,6 +32,14 @@ def phase_input(inside: DataFrame, counts: DataFrame, ref_cells: DataFrame | Non
     return both.select("region_idx", "snp_idx", "pos", "cell", F.when(F.col("ref_hap") == 1, F.col("dp") - F.col("ad")).otherwise(F.col("ad")).alias("ad"), "dp")
 
 
+def snp_shares(snps: DataFrame, counts: DataFrame) -> DataFrame:
+    """snp_idx, z0: the share of haplotype 1 over all cells. It is a SNP's own,
+    the same in every region that holds it."""
+    ad = F.when(F.col("ref_hap") == 1, F.col("dp") - F.col("ad")).otherwise(F.col("ad"))
+    both = counts.where("dp > 0").join(snps.select("snp_idx", "ref_hap"), "snp_idx")
+    return both.groupBy("snp_idx").agg((F.sum(ad).cast("double") / F.sum("dp")).alias("z0"))
+
+
 def cell_stats(phase: DataFrame, p: PhaseParams = PhaseParams()) -> DataFrame:
     """region_idx, cell, depth, n_expr and whether the cell is imbalanced."""
     s = phase.groupBy("region_idx", "cell").agg(F.sum("ad").alias("ad"), F.sum("dp").alias("depth"), F.count("*").alias("n_expr"))
