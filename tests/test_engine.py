@@ -189,6 +189,23 @@ def test_haplotypes_against_all_snps(spark, no_dup):
     assert want and key(haplotypes.count_haplotypes(first, None, g, s, AlleleParams(no_dup_hap=no_dup), 100)) == want
 
 
+def test_range_meets_a_molecule_once_a_haplotype(spark):
+    s = [(k, "1", 100 + k, "A", "C", 0, 1) for k in range(50)]
+    first = spark.createDataFrame([(k, "A", "U", "AC"[k % 2]) for k in range(50)], "snp_idx long, cell string, umi string, allele string")
+    extent, same = intervals.extents(region_table(spark, [(k, "chr1", 90, 200, "g") for k in range(20)]))
+    assert extent.count() == 1 and same.count() == 20
+    assert haplotypes.extent_marks(first, snp_table(spark, s), extent).count() == 2
+    assert [tuple(x)[3:] for x in haplotypes.extent_molecules(first, snp_table(spark, s), extent).collect()] == [(True, True, False)]
+
+
+def test_snp_shares_are_those_of_regions(spark):
+    s = snp_table(spark, [(k, "1", 100 + k, "A", "C", k % 2, 1 - k % 2) for k in range(4)])
+    counts = spark.createDataFrame([(k, c, k % 3, 3 if k else 0, 0) for k in range(4) for c in "AB"], "snp_idx long, cell string, ad long, dp long, oth long")
+    phase = phasing.phase_input(haplotypes.region_snps(region_table(spark, [(9, "1", 100, 110, "g")]), s), counts)
+    want = {x.snp_idx: x.z0 for x in phase.groupBy("snp_idx").agg((F.sum("ad") / F.sum("dp")).alias("z0")).collect()}
+    assert {x.snp_idx: x.z0 for x in phasing.snp_shares(s, counts).collect()} == want and len(want) == 3
+
+
 SNPS = [(1, "1", 130, "A", "C", 0, 1), (2, "1", 140, "A", "C", 0, 1)]
 
 
