@@ -297,6 +297,14 @@ def test_region_sets(spark):
     assert [(r.start, r.end) for r in last] == [(1, 10), (11, 20), (21, 30)]
 
 
+def test_attributes_are_parsed_once(spark):
+    """The parts of a text are made once, and not again for every attribute."""
+    df = spark.createDataFrame([('gene_id "a"; n "1"; n "2"; gene_id "b"; x=y',), ("",), (None,)], "a string").select(fields.attributes(F.col("a")).alias("m"))
+    assert [r.m for r in df.collect()] == [{"n": "2", "gene_id": "b", "x": "y"}, {}, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_kernels():
     r = np.random.default_rng(0)
     a, b = r.random((3, 4)), r.random((4, 2))
